@@ -75,11 +75,18 @@ def links(codes: np.ndarray, starts: np.ndarray, radius: int, accept=None, pairs
     work = np.cumsum(np.repeat(forest.sizes, forest.sizes)[queries])
     for block in np.split(queries, np.flatnonzero(np.diff(work // pairs)) + 1):
         a, b = forest.near(block, radius)
-        if accept is not None and a.size:
-            apart = union.of[a] != union.of[b]
-            a, b = a[apart], b[apart]
-            ok = accept(a, b)
-            a, b = a[ok], b[ok]
-        union.join(a, b)
+        if accept is None:
+            union.join(a, b)
+            continue
+        order = np.argsort(distance(codes[a], codes[b]), kind="stable")
+        a, b, at, size = a[order], b[order], 0, 32
+        while at < len(a):  # only pairs that are still apart are looked at
+            x, y = a[at : at + size], b[at : at + size]
+            apart = union.of[x] != union.of[y]
+            x, y = x[apart], y[apart]
+            at, size = at + size, min(4096, size * 2) if len(x) < 16 else 32
+            if x.size:
+                ok = accept(x, y)
+                union.join(x[ok], y[ok])
     moved = np.flatnonzero(union.of != np.arange(len(codes)))
     return moved, union.of[moved]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Memo, fold, groups, spread, sums_by, table
+from .common import Memo, fold, groups, ready, spread, sums_by, table
 from .scoring import in_order, labelled, scored
 
 WIDTH, MARKS, HIDDEN = 48, 6, 32
@@ -164,6 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, chars: int
     return Model(contexts, Network(Vectors(contexts).pool(texts), y))
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, with all their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
+        for b in batches:
+            yield b.filter(pa.array(np.asarray(score(b.column(place).to_pylist())) >= least))
+
+    ready(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spread(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "labels")
     held = fold(3) == 1

@@ -61,6 +61,35 @@ def _keys(value, width: int, parts: int, free: int, tag):
     return F.array(*[F.xxhash64(tag, F.lit(k), *map(block, kept)) for k, kept in enumerate(combinations(range(parts), parts - free))])
 
 
+def group_starts(keys: pa.Array) -> np.ndarray:
+    g = keys.to_numpy()
+    return np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by a number in the first column, dealt anew so that no group is parted; groups of one row are left out."""
+
+    def several(b: pa.RecordBatch) -> pa.RecordBatch:
+        starts = group_starts(b.column(0))
+        sizes = np.diff(np.r_[starts, b.num_rows])
+        return b.filter(pa.array(np.repeat(sizes > 1, sizes)))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        starts = group_starts(b.column(0))
+        if held and held[-1].column(0)[-1].as_py() != b.column(0)[0].as_py():
+            yield several(pa.concat_batches(held))
+            held = []
+        if len(starts) > 1:
+            yield several(pa.concat_batches([*held, b.slice(0, starts[-1])]))
+            held = []
+        held.append(b.slice(starts[-1]))
+    if held:
+        yield several(pa.concat_batches(held))
+
+
 def fingerprint_edges(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Distinct fingerprints (fp long) -> edges (a, b) that span all links of at most `radius` differing bits.
 
@@ -68,31 +97,10 @@ def fingerprint_edges(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def found(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            several = np.repeat(np.diff(np.r_[starts, len(g)]) > 1, np.diff(np.r_[starts, len(g)]))
-            g, fp = g[several], fp[several]
-            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-            a, b = links(fp.view(np.uint64)[:, None], starts, radius)
-            return pa.record_batch([pa.array(fp[a]), pa.array(fp[b])], schema=schema)
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            g, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(g):
-                continue
-            last = np.searchsorted(g, g[-1])
-            if last:
-                yield found(np.concatenate([*(x[0] for x in held), g[:last]]), np.concatenate([*(x[1] for x in held), fp[:last]]))
-                held = []
-            elif held and held[-1][0][-1] != g[0]:
-                yield found(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                held = []
-            held.append((g[last:], fp[last:]))
-        if held:
-            yield found(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        for b in whole_groups(batches):
+            starts, fp = group_starts(b.column(0)), b.column(1).to_numpy()
+            a, to = links(fp.view(np.uint64)[:, None], starts, radius)
+            yield pa.record_batch([pa.array(fp[a]), pa.array(fp[to])], names=["a", "b"])
 
     blocks = radius + 2
     parts = 64 // (64 // blocks)
@@ -117,5 +125,79 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For near_copies: min-hashes of a band and bands; the SimHash radius that pairs of similarity 0.8 keep within but for one in a thousand; hashes kept of a set; rows of a block of a large shard.
+BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK = 4, 12, 20, 160, 2048
+_MULTIPLIERS = np.random.default_rng(29).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(distinct: np.ndarray) -> list[int]:
+    """A key of each band: equal for two sets with the chance of their similarity to the power of BAND."""
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 4096):
+        mixed = distinct[at : at + 4096, None] * _MULTIPLIERS
+        mixed ^= mixed >> np.uint64(29)
+        least = np.minimum(least, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0))
+    return [xxhash.xxh3_64_intdigest(k.tobytes(), i) - (1 << 63) for i, k in enumerate(least.reshape(BANDS, BAND))]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets from their SKETCH smallest hashes: exact for sets no larger."""
+    both = np.union1d(a, b)[:SKETCH]
+    if not len(both):
+        return 1.0
+    return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, component_id), a row for each distinct doc_id that isn't null: documents whose sets of `shingle`-word shingles have a Jaccard similarity of `least` or more are linked; component_id is the smallest doc_id reachable.
+
+    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints finds those within WIDE_RADIUS bits, and sketches decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
+    """
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                h = shingle_hashes(t or b"", shingle)
+                distinct = np.unique(h)
+                out.append((i, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fingerprint(h) - (1 << 63), distinct[:SKETCH].tobytes(), _bands(distinct)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "same", "fp", "sketch", "bands"])
+
+    own = spread(docs, "doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, same string, fp long, sketch binary, bands array<long>")
+    own = cut(own)
+    single = own.select("doc_id", "same").groupBy("doc_id").agg(F.min("same").alias("same"))
+    firsts = cut(single.groupBy("same").agg(F.min("doc_id").alias("first")))
+    reps = firsts.withColumnRenamed("first", "doc_id")
+    banded = own.join(reps, ["doc_id", "same"], "left_semi").select("doc_id", "fp", "sketch", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / BLOCK)
+    block = F.pmod(F.xxhash64("doc_id"), parts)
+    keys = F.when(parts == 1, F.array("band")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.xxhash64("band", F.least(block, j), F.greatest(block, j))))
+    dealt = banded.join(shared, "band").select(F.explode(keys).alias("g"), "doc_id", "fp", "sketch")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            ids, fp, sketches = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            sketch = lambda i: np.frombuffer(sketches[int(i)].as_py(), np.uint64)
+            a, to = links(fp.view(np.uint64)[:, None], group_starts(b.column(0)), WIDE_RADIUS, lambda x, y: np.fromiter((similarity(sketch(i), sketch(j)) >= least for i, j in zip(x, y, strict=True)), bool, len(x)))
+            yield pa.record_batch([pa.array(ids[a]), pa.array(ids[to])], names=["a", "b"])
+
+    edges = dealt.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long")
+    linked = components(edges)
+    of = cut(firsts.join(linked, firsts["first"] == linked["node"], "left").select("same", F.coalesce("component", "first").alias("component_id")))
+    return single.join(of, "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near_copies() group, one for each doc_id; rows without a doc_id stay."""
+    kept = cut(near_copies(docs, shingle, least).where("doc_id = component_id").select("doc_id"))
+    rows = docs.join(kept, "doc_id", "left_semi")
+    if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
