@@ -3,46 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import session
+from ..session import cut  # noqa: F401
+
 #: Rows in one Arrow batch, so that a batch of long documents fits in a worker.
 BATCH_ROWS = 500
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each context."""
-    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if getattr(context, "_shipped", None) == top.name or not top.is_dir():
-        return
-    whole = f"{tempfile.mkdtemp(prefix='package-')}/{top.name}.zip"
-    with zipfile.ZipFile(whole, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(whole)
-    context._shipped = top.name
-
-
 def ready(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, a checkpoint folder where the cluster has named none, and this package on the executors."""
-    ship(spark)
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    """The library's session, with small Arrow batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; later reads survive lost executors."""
-    ready(df.sparkSession)
-    return df.checkpoint()
+    return session.ready(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
