@@ -9,12 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Memo, cut, groups, quiet_tokenizers, ready, spread, table, texts_of
+from .common import cut, groups, quiet_tokenizers, ready, spread, table, texts_of
 
 CONTEXT = 2048
 END_ID = 1
-#: Tokens of the longest word that is kept in the memo; longer ones are encoded each time.
-WIDE = 24
 
 
 def vocabulary() -> str:
@@ -24,56 +22,92 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of one token, put between words that are encoded together.
+MARK = "~"
+
+
+class Words(dict):
+    """Numbers words as they come; `new` lists those that came since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
+class Tokens:
+    """The ids of numbered words, one after another."""
+
+    def __init__(self):
+        self.words, self.flat, self.size = Words(), np.zeros(1 << 16, np.int32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.start) < len(self.words):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.start[at], self.length[at] = self.size + np.cumsum(lengths) - lengths, lengths
+        self.size += len(ids)
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.length[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
 class Encoder:
-    """Ids of texts. The tokenizer drops white space and no token spans it, so words between spaces are encoded once and remembered."""
+    """Ids of texts. The tokenizer drops white space and no token spans it, so words between spaces are encoded once and remembered; when `limit` are known, those of the last period stay at hand for another."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 700_000):
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self._rows, WIDE + 1, np.int32, 120_000)
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        rows = np.zeros((len(words), WIDE + 1), np.int32)
-        for at in range(0, len(words), 4096):
-            for i, e in enumerate(self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False), at):
-                ids = e.ids
-                if len(ids) <= WIDE:
-                    rows[i, 0] = len(ids)
-                    rows[i, 1 : len(ids) + 1] = ids
-                else:
-                    rows[i, 0] = -1
-        return rows
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.now, self.before = Tokens(), Tokens()
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids and their numbers; one call for all, with marks between, unless a word has the mark."""
+        joined = f" {MARK} ".join(words)
+        if len(self.mark) == 1 and joined.count(MARK) == len(words) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, first: int, new: list[str]) -> None:
+        """new: the words from number `first` on."""
+        old = np.fromiter((self.before.words.get(w, -1) for w in new), np.int64, len(new)) if self.before.words else np.full(len(new), -1)
+        known = np.flatnonzero(old >= 0)
+        self.now.put(first + known, *self.before.get(old[known]))
+        other = np.flatnonzero(old < 0)
+        for i in range(0, len(other), 1024):
+            at = other[i : i + 1024]
+            self.now.put(first + at, *self._encode([new[j] for j in at.tolist()]))
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
+        if len(self.now.words) > self.limit:
+            self.now, self.before = Tokens(), self.now
+        words, counts = [], []
+        for t in texts:
+            if t.isascii():  # the tokenizer takes small letters anyway
+                t = t.lower()
             own = t.replace("\n", " ").split(" ")
-            counts[i] = len(own)
+            counts.append(len(own))
             words += own
-        at = self.memo(words)
-        rows = self.memo.table[at]
-        lens = rows[:, 0].astype(np.int64)
-        wide = np.flatnonzero(lens < 0)
-        extra = {int(i): np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.int32) for i in wide}
-        for i, ids in extra.items():
-            lens[i] = len(ids)
-        body = rows[:, 1:]
-        if not extra:
-            ids = body[np.arange(WIDE) < lens[:, None]]
-        else:
-            keep = np.where(rows[:, 0] < 0, 0, lens)
-            flat = body[np.arange(WIDE) < keep[:, None]]
-            cuts = np.r_[0, np.cumsum(keep)]
-            out, last = [], 0
-            for i in sorted(extra):
-                out += [flat[last : cuts[i]], extra[i]]
-                last = cuts[i]
-            ids = np.concatenate([*out, flat[last:]])
-        owner = np.repeat(np.arange(len(texts)), counts)
-        return ids, np.bincount(owner, lens, len(texts)).astype(np.int64)
+        first, self.now.words.new = len(self.now.words), []
+        at = np.fromiter(map(self.now.words.__getitem__, words), np.int64, len(words))
+        self._learn(first, self.now.words.new)
+        ids, lengths = self.now.get(at)
+        return ids, np.add.reduceat(lengths, np.r_[0, np.cumsum(counts)[:-1]])
 
 
 _encoders: dict[str, Encoder] = {}
