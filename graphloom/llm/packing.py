@@ -26,6 +26,21 @@ def vocabulary() -> str:
 MARK = "~"
 
 
+def latin(text: str) -> bool:
+    """Whether it is of Latin-1 alone, whose small letters are one character each and are composed."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def small(text: str) -> bool:
+    return latin(text) and text == text.lower()
+
+
 class Words(dict):
     """Numbers words as they come; `new` lists those that came since it was emptied."""
 
@@ -65,10 +80,17 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 700_000):
         quiet_tokenizers()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        # for small letters of Latin-1 alone the same model needs no normaliser, and words are split at spaces
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary_ = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary_.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary_.items() if t.endswith("</w>")]] = True
         self.now, self.before = Tokens(), Tokens()
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +104,25 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters: each is one piece to the tokenizer, and ends with a token that ends words."""
+        joined = " ".join(words)
+        if not small(joined):
+            return self._encode(words)
+        ids = np.array(self.letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        last = np.flatnonzero(self.ends[ids])
+        return (ids, np.diff(np.r_[-1, last])) if len(last) == len(words) and last[-1] == len(ids) - 1 else self._encode(words)
+
     def _learn(self, first: int, new: list[str]) -> None:
         """new: the words from number `first` on."""
         old = np.fromiter((self.before.words.get(w, -1) for w in new), np.int64, len(new)) if self.before.words else np.full(len(new), -1)
         known = np.flatnonzero(old >= 0)
         self.now.put(first + known, *self.before.get(old[known]))
-        other = np.flatnonzero(old < 0)
-        for i in range(0, len(other), 1024):
-            at = other[i : i + 1024]
-            self.now.put(first + at, *self._encode([new[j] for j in at.tolist()]))
+        alpha = np.fromiter(map(str.isalpha, new), bool, len(new))
+        for other, encode in ((np.flatnonzero((old < 0) & alpha), self._encode_letters), (np.flatnonzero((old < 0) & ~alpha), self._encode)):
+            for i in range(0, len(other), 512):
+                at = other[i : i + 512]
+                self.now.put(first + at, *encode([new[j] for j in at.tolist()]))
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and each text's number of ids."""
@@ -98,7 +130,7 @@ class Encoder:
             self.now, self.before = Tokens(), self.now
         words, counts = [], []
         for t in texts:
-            if t.isascii():  # the tokenizer takes small letters anyway
+            if latin(t):  # the tokenizer takes small letters anyway
                 t = t.lower()
             own = t.replace("\n", " ").split(" ")
             counts.append(len(own))
