@@ -111,3 +111,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix(docs, max_repetition=REPETITION)
     return mixed.select("doc_id", "source", F.col("__tokens").alias("tokens"), F.round("__weight", 9).alias("weight"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__start").alias("start"))
+
+
+_UNIT = "('0x' || substr(md5(concat_ws('|', {})), 1, 8))::ubigint::bigint"
+SQL = f"""
+with d as materialized (select doc_id, source, coalesce('=' || source, '-') as src, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::bigint as tokens from documents),
+s as materialized (select src, sum(tokens)::bigint as t, count(*) as n from d group by src),
+total as (select sum(t)::double as total from s where t > 0),
+alpha as (select min(g) / {GRID}.0::double as alpha from (select g, max(pow(t / total, g / {GRID}.0::double) / t) / min(pow(t / total, g / {GRID}.0::double) / t) as repeated from s, total, (select unnest(range({GRID} + 1)) as g) where t > 0 group by g) where repeated <= {REPETITION} or g = {GRID}),
+w as materialized (select src, t, n, case when t > 0 then pow(t / total, alpha) / (select sum(pow(t / total, alpha)) from s, total, alpha where t > 0) else 0 end as weight, (select sum(pow(t / total, alpha)) / min(pow(t / total, alpha) / t) from s, total, alpha where t > 0) as spend from s, total, alpha),
+plan as materialized (select src, t, weight, round(weight * spend)::bigint as quota, ceil(sqrt(n))::bigint as blocks, case when t > 0 then ceil(round(weight * spend)::bigint / t)::bigint else 1 end as passes from w),
+e as (select d.*, p.t, p.weight, p.quota, p.blocks, unnest(range(p.passes)) as epoch from d join plan p using (src)),
+b as materialized (select *, {_UNIT.format(f"'block', '{SEED}', coalesce(doc_id::varchar, ''), epoch")} % blocks as block, {_UNIT.format(f"'row', '{SEED}', coalesce(doc_id::varchar, ''), epoch")} as h from e),
+inside as (select *, sum(tokens) over (partition by src, epoch, block order by h, doc_id, tokens rows unbounded preceding) - tokens as within from b),
+sizes as (select src, epoch, block, sum(tokens) as size, {_UNIT.format(f"'order', '{SEED}', src, epoch, block")} as o from b group by src, epoch, block),
+starts as (select src, epoch, block, sum(size) over (partition by src, epoch order by o, block rows unbounded preceding) - size as before from sizes)
+select doc_id, source, tokens, round(weight, 9) as weight, epoch, block, (within + before)::bigint as start
+from inside join starts using (src, epoch, block) where within + before < quota - epoch * t or (tokens = 0 and quota - epoch * t > 0) or t = 0
+"""
