@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ready, spread, table
 from .merged_bwt import of_strings, repeated
 
-LENGTH, GRAM = 50, 24
-#: Contexts of one anchor beyond which its strings are dealt one by one, and contexts that are transformed together.
-SPLIT, TOGETHER = 4096, 12_000
+LENGTH, GRAM = 50, 20
+#: Contexts of one anchor beyond which its strings are dealt one by one, contexts that are transformed together, and anchors of a partition.
+SPLIT, TOGETHER, ANCHORS = 4096, 12_000, 1_500_000
+#: A place and a context's length in one number.
+SPAN = 1 << 10
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +60,26 @@ def anchors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int,
     return at, h[at]
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of data[lo : hi] for each pair, from running sums of powers."""
+    n = len(data)
+    if not _POWERS or len(_POWERS[1]) < n + 1:
+        table_ = np.random.default_rng(53).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        inverse = np.uint64(pow(int(P), -1, 1 << 64))
+        grown = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 20), x)], dtype=np.uint64)
+        _POWERS[:] = [table_, grown(P), grown(inverse)]
+    table_, up, down = _POWERS
+    sums = np.r_[np.uint64(0), np.cumsum(table_[data] * up[:n], dtype=np.uint64)]
+    x = (sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)
+    return (x ^ (x >> np.uint64(31))) * P
+
+
 def _anchor_rows(length: int, gram: int):
+    """Rows (doc_id, tid, text) -> for each anchor: its hash, that of its context, m, tid and the context's span."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids, tids = b.column(2).to_pylist(), b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -70,55 +91,68 @@ def _anchor_rows(length: int, gram: int):
                     hi += 1
                 sizes = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
                 ends, owner = np.cumsum(sizes), np.repeat(np.arange(hi - lo), sizes)
-                at, h = anchors(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), ends, owner, length, gram)
+                data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+                at, h = anchors(data, ends, owner, length, gram)
                 of = owner[at]
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[lo + of]), pa.array(tids[lo + of]), pa.array((at - ends[of] + sizes[of]).astype(np.int64))], names=["h", "m", "tid", "pos"])
+                start = ends[of] - sizes[of]
+                from_, to = np.maximum(at - (length - gram), start), np.minimum(at + length, ends[of])
+                c = digests(data, from_, to)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + of]), pa.array(tids[lo + of]), pa.array((from_ - start) * SPAN + to - from_)], names=["h", "c", "m", "tid", "span"])
                 lo = hi
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, m, tid, pos) sorted by h and m -> those whose h is in two documents; only the first document's rows of a group are held."""
-    names = ["h", "tid", "pos"]
-    last_h, last_m, held = None, None, []
-    for b in batches:
-        h, m = b.column(0).to_numpy(), b.column(1).to_numpy()
+def _shared(split: int):
+    """Rows (h, c, m, tid, span), all of an h in one partition -> (tid, kind, g, span) of anchors that two documents have.
+
+    kind 0: an earlier document has the whole context. 1: no earlier one has it, but contexts of the anchor differ, so strings in it may repeat; g is the anchor. 2: the same, of an anchor with more than `split` contexts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        del held
+        order = np.argsort(columns[0], kind="stable")
+        h = columns[0][order]
+        fresh = np.r_[True, h[1:] != h[:-1]]
+        order = order[~(fresh & np.r_[fresh[1:], True])]
+        h, c, m, tid, span = (x[order] for x in columns)
+        del columns
+        order = np.lexsort((m, c, h))
+        h, c, m, tid, span = (x[order] for x in (h, c, m, tid, span))
         if not len(h):
-            continue
-        start = np.r_[True, h[1:] != h[:-1]]
-        first = np.flatnonzero(start)
-        group = np.cumsum(start) - 1
-        low = m[first]
-        if last_h == h[0]:
-            low[0] = last_m
-        else:
-            held = []
-        more = m > low[group]
-        any_more = np.zeros(len(first), bool)
-        np.logical_or.at(any_more, group[more], True)
-        if held and any_more[0]:
-            yield from held
-            held = []
-        rows = pa.record_batch([b.column(0), b.column(2), b.column(3)], names=names)
-        keep = any_more[group]
-        if keep.any():
-            yield rows.filter(pa.array(keep))
-        told = any_more[-1] or (last_h == h[-1] and not held and last_told)
-        if told and not any_more[-1]:
-            tail = group == group[-1]
-            yield rows.filter(pa.array(tail))
-        if not told:
-            tail = rows.slice(int(first[-1]))
-            held = [*held, tail] if last_h == h[-1] and len(first) == 1 else [tail]
+            return
+        fresh = np.r_[True, h[1:] != h[:-1]]
+        new = fresh | np.r_[True, c[1:] != c[:-1]]
+        first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        several = (np.maximum.reduceat(m, first) > np.minimum.reduceat(m, first))[group]
+        contexts = np.add.reduceat(new.astype(np.int64), first)[group]
+        covered = m > m[np.flatnonzero(new)][np.cumsum(new) - 1]
+        kind = np.where(covered, 0, np.where(contexts > split, 2, 1)).astype(np.int32)
+        keep = covered | (several & (contexts > 1))
+        for at in range(0, len(h), 1 << 17):
+            k = keep[at : at + (1 << 17)]
+            yield pa.record_batch([pa.array(x[at : at + (1 << 17)][k]) for x in (tid, kind, h, span)], names=["tid", "kind", "g", "span"])
+
+    return run
+
+
+def _runs(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Their union, in order."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
         else:
-            held = []
-        last_h, last_m, last_told = h[-1], low[-1], told
+            runs.append([lo, hi])
+    return runs
 
 
-def _contexts(length: int, gram: int):
-    """Rows (m, tid, text, anchors) -> (g, context, m, tid, lo): what strings of `length` bytes around an anchor can reach, or, for split anchors, each such string."""
-    reach = length - gram
+def _contexts(length: int):
+    """Rows (m, tid, text, anchors) -> (g, context, m, tid, lo, hi): the bytes around anchors, or, for split ones, each string of `length` bytes there; and what is covered already, without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -126,14 +160,16 @@ def _contexts(length: int, gram: int):
         for b in batches:
             out = []
             for m, tid, text, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                done = _runs([(a["span"] // SPAN, a["span"] // SPAN + a["span"] % SPAN) for a in found if not a["kind"]])
+                out += [(tid, None, m, tid, lo, hi) for lo, hi in done]
                 for a in found:
-                    lo, hi = max(0, a["pos"] - reach), min(len(text), a["pos"] + length)
-                    if not a["split"]:
-                        out.append((a["h"], text[lo:hi], m, tid, lo))
-                        continue
-                    for s in range(lo, hi - length + 1):
-                        x = text[s : s + length]
-                        out.append((xxhash.xxh64_intdigest(x, a["h"] & 0xFFFFFFFF) - (1 << 63), x, m, tid, s))
+                    lo, hi = a["span"] // SPAN, a["span"] // SPAN + a["span"] % SPAN
+                    if a["kind"] == 1:
+                        out.append((a["g"], text[lo:hi], m, tid, lo, hi))
+                    elif a["kind"] == 2:
+                        for s in range(lo, hi - length + 1):
+                            x = text[s : s + length]
+                            out.append((xxhash.xxh64_intdigest(x, a["g"] & 0xFFFFFFFF) - (1 << 63), x, m, tid, s, s + length))
                 if len(out) > 20_000:
                     yield _rows(out)
                     out = []
@@ -143,14 +179,14 @@ def _contexts(length: int, gram: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["g", "context", "m", "tid", "lo"])
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), *[pa.int64()] * 4), strict=True)], names=["g", "context", "m", "tid", "lo", "hi"])
 
 
 def _covers(length: int):
-    """Rows (g, context, m, tid, lo) sorted by g, context, m -> (tid, lo, hi): bytes that strings of an earlier document cover.
+    """Rows (g, context, m, tid, lo, hi) sorted by g, context, m -> (tid, lo, hi): bytes that strings of an earlier document cover.
 
-    Where an earlier document has a row's whole context, all of it is covered. For the first rows of each context, contexts are transformed and merged, group by group until TOGETHER are there.
+    Rows without context say so themselves; where an earlier document has a row's whole context, all of it is covered. For the first rows of each context, contexts are transformed and merged, group by group until TOGETHER are there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +224,10 @@ def _covers(length: int):
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["tid", "lo", "hi"])
 
         for b in batches:
-            for g, context, m, tid, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for g, context, m, tid, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if context is None:
+                    out.append((tid, lo, hi))
+                    continue
                 if g != key:
                     close()
                     key = g
@@ -217,12 +256,7 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(text)
             if not first and doc_id is not None and n >= LENGTH:
                 spans = [{"lo": 0, "hi": n}]
-            runs: list[list[int]] = []
-            for s in sorted((s["lo"], s["hi"]) for s in spans or []):
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
-                else:
-                    runs.append([*s])
+            runs = _runs([(x["lo"], x["hi"]) for x in spans or []])
             kept, last = hashlib.sha256(), 0
             for lo, hi in runs:
                 kept.update(text[last:lo])
@@ -238,20 +272,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Each byte covered by a string of LENGTH bytes that also starts in a document with a smaller id goes. Null texts are empty; a null id is no smaller than any and has none smaller; rows with one id are no earlier than each other, whatever their texts; repeated rows have equal results; an empty table gives none.
 
-    Whole copies of a text are told by its digest: only the smallest id's goes on. Of its strings, each has anchors, its grams of smallest hash, so a repeat shares them; anchors that two documents have are shown with the bytes around, and sent to their group. There, transforms of contexts are merged, and intervals of LENGTH common bytes say which strings repeat. An anchor with very many contexts is split: each string around it then has its own group.
+    Whole copies of a text are told by its digest: only the smallest id's goes on. Of its strings, each has anchors, its grams of smallest hash, so a repeat shares them; anchors that two documents have are looked at with the bytes around, their contexts. A context that an earlier document has is covered (told by two 64-bit hashes); where contexts differ, transforms of them are merged, and intervals of LENGTH common bytes say which strings repeat. An anchor with very many contexts is split: each string around it then has its own group.
     """
     ready(docs.sparkSession)
     rows = spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("digest", F.md5("text")).withColumn("tid", F.xxhash64("doc_id", "digest"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("m")).select(F.xxhash64("m", "digest").alias("tid"), "m")
-    marked = rows.join(firsts, "tid", "left").select("tid", "m", "doc_id", "text", (F.col("m").isNotNull()).alias("first"))
-    single = marked.where("first").select("m", "tid", "text")
-    found = single.where(F.length("text") >= LENGTH).mapInArrow(_anchor_rows(LENGTH, GRAM), "h long, m long, tid long, pos long")
-    shared = found.repartition("h").sortWithinPartitions("h", "m").mapInArrow(_shared, "h long, tid long, pos long")
-    large = shared.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
-    shared = shared.join(large, "h", "left").select("tid", "h", "pos", F.col("n").isNotNull().alias("split"))
-    by_text = shared.groupBy("tid").agg(F.collect_list(F.struct("h", "pos", "split")).alias("anchors"))
-    contexts = single.join(by_text, "tid").select("m", "tid", "text", "anchors").mapInArrow(_contexts(LENGTH, GRAM), "g long, context binary, m long, tid long, lo long")
+    marked = rows.join(firsts, "tid", "left").select("tid", "doc_id", "text", F.col("m").isNotNull().alias("first"))
+    single = marked.where("first").select("doc_id", "tid", "text")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(ready(docs.sparkSession).conf.get("spark.sql.shuffle.partitions")), size * 2 // (LENGTH - GRAM + 2) // ANCHORS)
+    found = single.where(F.length("text") >= LENGTH).mapInArrow(_anchor_rows(LENGTH, GRAM), "h long, c long, m long, tid long, span long")
+    shared = found.repartition(parts, "h").mapInArrow(_shared(SPLIT), "tid long, kind int, g long, span long")
+    by_text = shared.groupBy("tid").agg(F.collect_list(F.struct("kind", "g", "span")).alias("anchors"))
+    contexts = single.join(by_text, "tid").select("doc_id", "tid", "text", "anchors").mapInArrow(_contexts(LENGTH), "g long, context binary, m long, tid long, lo long, hi long")
     covers = contexts.repartition("g").sortWithinPartitions("g", "context", "m").mapInArrow(_covers(LENGTH), "tid long, lo long, hi long")
     spans = covers.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return marked.join(spans, "tid", "left").select("doc_id", "text", "first", "spans").mapInArrow(_result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
