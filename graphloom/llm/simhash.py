@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 
 #: For near_copies: min-hashes of a band and bands; the SimHash radius that pairs of similarity 0.8 keep within but for one in a thousand; hashes kept of a set; rows of a block of a large shard.
-BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK = 4, 12, 20, 160, 2048
+BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK = 4, 12, 20, 192, 2048
 _MULTIPLIERS = np.random.default_rng(29).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -161,7 +161,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 h = shingle_hashes(t or b"", shingle)
                 distinct = np.unique(h)
-                out.append((i, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fingerprint(h) - (1 << 63), distinct[:SKETCH].tobytes(), _bands(distinct)))
+                out.append((i, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fingerprint(h) - (1 << 63), np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes(), _bands(distinct)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "same", "fp", "sketch", "bands"])
 
@@ -170,21 +170,23 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     single = own.select("doc_id", "same").groupBy("doc_id").agg(F.min("same").alias("same"))
     firsts = cut(single.groupBy("same").agg(F.min("doc_id").alias("first")))
     reps = firsts.withColumnRenamed("first", "doc_id")
-    banded = own.join(reps, ["doc_id", "same"], "left_semi").select("doc_id", "fp", "sketch", F.explode("bands").alias("band"))
+    chosen = own.join(reps, ["doc_id", "same"], "left_semi")
+    banded = chosen.select("doc_id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / BLOCK)
     block = F.pmod(F.xxhash64("doc_id"), parts)
     keys = F.when(parts == 1, F.array("band")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.xxhash64("band", F.least(block, j), F.greatest(block, j))))
-    dealt = banded.join(shared, "band").select(F.explode(keys).alias("g"), "doc_id", "fp", "sketch")
+    met = banded.join(shared, "band").select(F.explode(keys).alias("g"), "doc_id")
+    dealt = met.join(own.join(reps, ["doc_id", "same"], "left_semi").select("doc_id", "fp", "sketch"), "doc_id")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
             ids, fp, sketches = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
-            sketch = lambda i: np.frombuffer(sketches[int(i)].as_py(), np.uint64)
+            sketch = lambda i: np.frombuffer(sketches[int(i)].as_py(), np.uint32)
             a, to = links(fp.view(np.uint64)[:, None], group_starts(b.column(0)), WIDE_RADIUS, lambda x, y: np.fromiter((similarity(sketch(i), sketch(j)) >= least for i, j in zip(x, y, strict=True)), bool, len(x)))
             yield pa.record_batch([pa.array(ids[a]), pa.array(ids[to])], names=["a", "b"])
 
-    edges = dealt.repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long")
+    edges = dealt.select("g", "doc_id", "fp", "sketch").repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long")
     linked = components(edges)
     of = cut(firsts.join(linked, firsts["first"] == linked["node"], "left").select("same", F.coalesce("component", "first").alias("component_id")))
     return single.join(of, "same").select("doc_id", "component_id")
