@@ -93,6 +93,18 @@ class Memo:
         return np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
 
 
+_held: dict = {}
+
+
+def held(name: str | None = None, make: Callable | None = None):
+    """What an operator keeps in a worker from one task to the next. Only one thing is kept: another name, or none, lets it go."""
+    if name not in _held:
+        _held.clear()
+        if name is not None:
+            _held[name] = make()
+    return _held.get(name)
+
+
 def sums_by(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of each owner; owners ascend."""
     out = np.zeros((n, rows.shape[1]), np.float64)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, groups, quiet_tokenizers, ready, spread, table, texts_of
+from .common import cut, groups, held, quiet_tokenizers, ready, spread, table, texts_of
 
 CONTEXT = 2048
 END_ID = 1
@@ -142,20 +142,15 @@ class Encoder:
         return ids, np.add.reduceat(lengths, np.r_[0, np.cumsum(counts)[:-1]])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens): full windows from the text's start, then the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = path or vocabulary()
-        if key not in _encoders:
-            _encoders[key] = Encoder(key)
-        encoder = _encoders[key]
+        encoder = held(f"encoder {key}", lambda: Encoder(key))
         for b in batches:
             docs_of, texts = b.column(0).to_pylist(), texts_of(b)
-            rows, held, ready_to = [], {}, 0
+            rows, parts_of, ready_to = [], {}, 0
 
             def finish(i: int, ids: list[np.ndarray]) -> None:
                 ids = np.concatenate([*ids, [end_id]]).astype("<u4")
@@ -167,12 +162,12 @@ def pieces(docs: DataFrame, path: str | None = None, context: int = CONTEXT, end
                 ids, counts = encoder.parts(parts)
                 cuts = np.cumsum(counts)[:-1]
                 for i, own in zip(owners, np.split(ids, cuts), strict=True):
-                    held.setdefault(i, []).append(own)
+                    parts_of.setdefault(i, []).append(own)
                 while ready_to < owners[-1]:
-                    finish(ready_to, held.pop(ready_to))
+                    finish(ready_to, parts_of.pop(ready_to))
                     ready_to += 1
             while ready_to < len(texts):
-                finish(ready_to, held.pop(ready_to))
+                finish(ready_to, parts_of.pop(ready_to))
                 ready_to += 1
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

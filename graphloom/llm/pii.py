@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ready, spread, table, texts_of
+from .common import held, ready, spread, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -301,6 +301,7 @@ def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     place = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for b in batches:
             out, texts = [], b.column(place).to_pylist()
             for t, (_, spans) in zip(texts, find(texts, model), strict=True):

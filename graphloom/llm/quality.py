@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Memo, fold, groups, ready, spread, sums_by, table
+from .common import Memo, fold, groups, held, ready, spread, sums_by, table
 from .scoring import in_order, labelled, scored
 
 WIDTH, MARKS, HIDDEN = 48, 6, 32
@@ -171,6 +171,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         score = model.scorer()
         for b in batches:
             yield b.filter(pa.array(np.asarray(score(b.column(place).to_pylist())) >= least))
