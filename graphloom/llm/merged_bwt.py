@@ -26,11 +26,18 @@ def joined(strings: list[bytes]) -> np.ndarray:
 
 def transform(symbols: np.ndarray) -> Transform:
     """By doubling of prefixes; ends are all different, in order of place."""
-    ends = np.flatnonzero(symbols == 0)
-    rank = symbols.astype(np.int64) + len(ends)
+    ends, n, k = np.flatnonzero(symbols == 0), len(symbols), 7
+    rank, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):  # seven symbols of nine bits, none beyond an end
+        symbol = np.r_[symbols[i:], np.zeros(min(i, n), np.int16)]
+        rank = rank << 9 | np.where(open_, symbol, 0)
+        open_ &= symbol != 0
     rank[ends] = np.arange(len(ends))
-    n, k = len(symbols), 1
-    while True:
+    order = np.argsort(rank, kind="stable")
+    fresh = np.r_[False, rank[order][1:] != rank[order][:-1]]
+    fresh[: len(ends)] = True
+    rank[order] = np.cumsum(fresh)
+    while not fresh[1:].all() and k < n:
         key = rank * (n + 512)
         key[:-k] += rank[k:] + 1
         order = np.argsort(key, kind="stable")
@@ -38,16 +45,12 @@ def transform(symbols: np.ndarray) -> Transform:
         fresh = np.r_[False, key[1:] != key[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
-        if fresh[1:].all() or k >= n:
-            break
         k *= 2
-        if k >= n:
-            break
     return Transform(order, symbols[order - 1], len(ends))
 
 
-def merge(a: Transform, b: Transform, shift: int) -> Transform:
-    """Of the strings of both, b's places moved by shift. Each round sorts the interleave by one symbol more, by dealing it stably by the symbol before; where two neighbours first come apart is their common prefix's end. It ends when a round changes nothing."""
+def merge(a: Transform, b: Transform, shift: int, enough: int | None = None) -> Transform:
+    """Of the strings of both, b's places moved by shift. Each round sorts the interleave by one symbol more, by dealing it stably by the symbol before; where two neighbours first come apart is their common prefix's end. It ends when a round changes nothing, or, for a last merge, when `enough` symbols are sorted by: common prefixes are then told up to that."""
     n, ends = len(a.order) + len(b.order), a.ends + b.ends
     side = np.r_[np.zeros(len(a.order), bool), np.ones(len(b.order), bool)]
     of_ends = np.r_[np.zeros(a.ends, bool), np.ones(b.ends, bool)]
@@ -63,10 +66,11 @@ def merge(a: Transform, b: Transform, shift: int) -> Transform:
         now[:ends] = True
         new = now & ~apart
         common[new] = h - 1
-        done = not new.any() and np.array_equal(to, side)
+        done = h == enough or not new.any() and np.array_equal(to, side)
         side, apart, block = to, now, np.cumsum(now, dtype=np.int32)
         if done:
             break
+    common[~apart] = h
     order = np.empty(n, np.int64)
     order[~side], order[side] = a.order, b.order + shift
     before[~side], before[side] = a.before, b.before
@@ -76,8 +80,8 @@ def merge(a: Transform, b: Transform, shift: int) -> Transform:
 NOTHING = Transform(np.zeros(0, np.int64), np.zeros(0, np.int16), 0)
 
 
-def of_strings(strings: list[bytes], shard: int = 1 << 17) -> Transform:
-    """Strings are dealt into shards of about so many symbols; shards' transforms are merged in pairs."""
+def of_strings(strings: list[bytes], shard: int = 1 << 16, enough: int | None = None) -> Transform:
+    """Strings are dealt into shards of about so many symbols; shards' transforms are merged in pairs, the last up to `enough` symbols."""
     parts, own, size = [], [], 0
     for s in strings:
         own.append(s)
@@ -92,9 +96,9 @@ def of_strings(strings: list[bytes], shard: int = 1 << 17) -> Transform:
         symbols = joined(own)
         made.append((transform(symbols), len(symbols)))
     if len(made) == 1:
-        return merge(made[0][0], NOTHING, 0)
+        return merge(made[0][0], NOTHING, 0, enough)
     while len(made) > 1:
-        made = [(merge(x[0], y[0], x[1]), x[1] + y[1]) if y else x for x, y in zip(made[::2], [*made[1::2], None], strict=False)]
+        made = [(merge(x[0], y[0], x[1], enough if len(made) == 2 else None), x[1] + y[1]) if y else x for x, y in zip(made[::2], [*made[1::2], None], strict=False)]
     return made[0][0]
 
 

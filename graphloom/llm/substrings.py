@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import ready, spread, table
 from .merged_bwt import of_strings, repeated
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 #: Contexts of one anchor beyond which its strings are dealt one by one, contexts that are transformed together, and anchors of a partition.
-SPLIT, TOGETHER, ANCHORS = 4096, 12_000, 1_500_000
+SPLIT, TOGETHER, ANCHORS = 4096, 1500, 1_500_000
 #: A place and a context's length in one number.
 SPAN = 1 << 10
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -77,8 +77,22 @@ def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * P
 
 
+def sides(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Four 12-bit hashes for each anchor. A string of `length` bytes around an anchor has it at one of the places that its hash stands for, so two anchors that share such a string share one of the four; where a text is too short for one, it is the place's own."""
+    rest = length - gram
+    out = np.zeros(len(at), np.uint64)
+    for i in range(4):
+        left, right = i * rest // 4, rest - (i + 1) * rest // 4
+        lo, hi = at - left, at + gram + right
+        inside = (lo >= start) & (hi <= end)
+        x = digests(data, np.where(inside, lo, at), np.where(inside, hi, at))
+        x = np.where(inside, x, at.astype(np.uint64) * P + start.astype(np.uint64))
+        out |= (x >> np.uint64(52)) << np.uint64(12 * i)
+    return out
+
+
 def _anchor_rows(length: int, gram: int):
-    """Rows (doc_id, tid, text) -> for each anchor: its hash, that of its context, m, tid and the context's span."""
+    """Rows (doc_id, tid, text) -> for each anchor: its hash, 48 bits of its context's, its sides, m, tid and the context's span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,17 +110,19 @@ def _anchor_rows(length: int, gram: int):
                 of = owner[at]
                 start = ends[of] - sizes[of]
                 from_, to = np.maximum(at - (length - gram), start), np.minimum(at + length, ends[of])
-                c = digests(data, from_, to)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo + of]), pa.array(tids[lo + of]), pa.array((from_ - start) * SPAN + to - from_)], names=["h", "c", "m", "tid", "span"])
+                c = digests(data, from_, to) >> np.uint64(16)
+                s = sides(data, at, start, ends[of], length, gram)
+                c, s = c << np.uint64(16) | s & np.uint64(0xFFFF), (s >> np.uint64(16)).astype(np.int32)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(s), pa.array(ids[lo + of]), pa.array(tids[lo + of]), pa.array((from_ - start) * SPAN + to - from_)], names=["h", "c", "s", "m", "tid", "span"])
                 lo = hi
 
     return run
 
 
 def _shared(split: int):
-    """Rows (h, c, m, tid, span), all of an h in one partition -> (tid, kind, g, span) of anchors that two documents have.
+    """Rows (h, c, s, m, tid, span), all of an h in one partition -> (tid, kind, g, span) of anchors that two documents have.
 
-    kind 0: an earlier document has the whole context. 1: no earlier one has it, but contexts of the anchor differ, so strings in it may repeat; g is the anchor. 2: the same, of an anchor with more than `split` contexts.
+    kind 0: an earlier document has the whole context. 1: no earlier one has it, but other contexts of the anchor share a side, so strings in it may repeat; g is the anchor. 2: the same, of an anchor with more than `split` contexts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +135,12 @@ def _shared(split: int):
         h = columns[0][order]
         fresh = np.r_[True, h[1:] != h[:-1]]
         order = order[~(fresh & np.r_[fresh[1:], True])]
-        h, c, m, tid, span = (x[order] for x in columns)
+        h, c, s, m, tid, span = (x[order] for x in columns)
         del columns
+        s = s.view(np.uint32).astype(np.uint64) << np.uint64(16) | c.view(np.uint64) & np.uint64(0xFFFF)
+        c = c >> 16
         order = np.lexsort((m, c, h))
-        h, c, m, tid, span = (x[order] for x in (h, c, m, tid, span))
+        h, c, s, m, tid, span = (x[order] for x in (h, c, s, m, tid, span))
         if not len(h):
             return
         fresh = np.r_[True, h[1:] != h[:-1]]
@@ -132,7 +150,13 @@ def _shared(split: int):
         contexts = np.add.reduceat(new.astype(np.int64), first)[group]
         covered = m > m[np.flatnonzero(new)][np.cumsum(new) - 1]
         kind = np.where(covered, 0, np.where(contexts > split, 2, 1)).astype(np.int32)
-        keep = covered | (several & (contexts > 1))
+        heads = np.flatnonzero(new)
+        alike = np.zeros(len(heads), bool)
+        for i in range(4):
+            side = (group[heads] << 12) | ((s[heads] >> np.uint64(12 * i)) & np.uint64(0xFFF)).astype(np.int64)
+            _, of, n = np.unique(side, return_inverse=True, return_counts=True)
+            alike |= n[of] > 1
+        keep = covered | (several & (contexts > 1) & alike[np.cumsum(new) - 1])
         for at in range(0, len(h), 1 << 17):
             k = keep[at : at + (1 << 17)]
             yield pa.record_batch([pa.array(x[at : at + (1 << 17)][k]) for x in (tid, kind, h, span)], names=["tid", "kind", "g", "span"])
@@ -208,7 +232,7 @@ def _covers(length: int):
             strings = [x[0] for x in heads]
             sizes = np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings))
             starts = np.cumsum(sizes) - sizes
-            places, interval = repeated(of_strings(strings), length)
+            places, interval = repeated(of_strings(strings, enough=length), length)
             if len(places):
                 of = np.searchsorted(starts, places, "right") - 1
                 ms = np.array([x[1] for x in heads], np.int64)[of]
@@ -282,7 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = marked.where("first").select("doc_id", "tid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(ready(docs.sparkSession).conf.get("spark.sql.shuffle.partitions")), size * 2 // (LENGTH - GRAM + 2) // ANCHORS)
-    found = single.where(F.length("text") >= LENGTH).mapInArrow(_anchor_rows(LENGTH, GRAM), "h long, c long, m long, tid long, span long")
+    found = single.mapInArrow(_anchor_rows(LENGTH, GRAM), "h long, c long, s int, m long, tid long, span long")
     shared = found.repartition(parts, "h").mapInArrow(_shared(SPLIT), "tid long, kind int, g long, span long")
     by_text = shared.groupBy("tid").agg(F.collect_list(F.struct("kind", "g", "span")).alias("anchors"))
     contexts = single.join(by_text, "tid").select("doc_id", "tid", "text", "anchors").mapInArrow(_contexts(LENGTH), "g long, context binary, m long, tid long, lo long, hi long")

@@ -54,11 +54,11 @@ def test_anchors_are_alike_in_equal_strings():
         data[2000:2200] = data[100:300]
         sizes = np.array([1000, 900, 40, 1060])
         ends, owner = np.cumsum(sizes), np.repeat(np.arange(4), sizes)
-        at, h = substrings.anchors(data, ends, owner, 50, 20)
+        at, h = substrings.anchors(data, ends, owner, 50, 16)
         of = {}
         for s in range(2951):
             if ends[owner[s]] - s >= 50:
-                inside = [(a - s, x) for a, x in zip(at.tolist(), h.tolist()) if s <= a <= s + 30]
+                inside = [(a - s, x) for a, x in zip(at.tolist(), h.tolist()) if s <= a <= s + 34]
                 assert inside
                 low = min(x for _, x in inside)
                 mine = [p for p, x in inside if x == low]
