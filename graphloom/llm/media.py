@@ -14,7 +14,7 @@ from .components import components
 
 SCALES = (1.0, 0.7071, 0.5)
 #: Radius of a descriptor's patch; the strongest corners of an image that are described; bits and tables; most images of a bucket that are paired outright; matches in agreement that make a copy.
-RADIUS, CORNERS, BITS, TABLES, BUCKET, AGREE = 7, 96, 128, 4, 32, 5
+RADIUS, CORNERS, BITS, TABLES, BUCKET, AGREE = 7, 64, 128, 4, 32, 5
 _RNG = np.random.default_rng(41)
 TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -165,7 +165,7 @@ SIDE = 56
 
 
 def drawn(vectors: DataFrame) -> DataFrame:
-    """embeddings (vec_id, embedding) -> (image_id, image): each vector as a grey picture, its components the knots of a smooth square. Vectors that are null, empty or hold what isn't finite have no picture."""
+    """embeddings (vec_id, embedding) -> (image_id, image): each vector as a grey picture, products of its components the knots of a smooth square. Vectors that are null, empty or hold what isn't finite have no picture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,8 +175,8 @@ def drawn(vectors: DataFrame) -> DataFrame:
                 if not len(a) or not np.isfinite(a).all():
                     out.append(None)
                     continue
-                side = int(np.ceil(len(a) ** 0.5))
-                a = np.pad(a, (0, side * side - len(a))).reshape(side, side)
+                y, x = np.mgrid[: SIDE // 2, : SIDE // 2]
+                a = a[2 * y % len(a)] * a[(5 * x + 3 * y + 1) % len(a)]
                 a = (a - a.min()) / max(1e-9, a.max() - a.min()) * 255
                 out.append(encode(np.rint(resized(a.astype(np.float32), SIDE, SIDE))))
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["image_id", "image"])
