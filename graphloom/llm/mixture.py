@@ -11,6 +11,8 @@ from .common import cut, table
 #: The exponent is found on a grid of 1/GRID; each pass over the sources' totals halves its interval so many times.
 GRID, HALVINGS = 1 << 16, 4
 SEED = "mix"
+#: A plan of so many sources at most is broadcast (some MB); a longer one is joined by a shuffle.
+FEW_SOURCES = 50_000
 
 
 def tokens(column: str = "text") -> Column:
@@ -87,6 +89,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     weight = F.when(F.col("t") > 0, power / F.lit(z or 1.0)).otherwise(0.0)
     quota = F.round(F.col("__weight") * F.lit(spend)).cast("long")
     plan = cut(totals.withColumn("__weight", weight).select("__source", "t", "__weight", quota.alias("quota"), F.ceil(F.sqrt("n")).cast("long").alias("blocks")))
+    if plan.count() <= FEW_SOURCES:
+        plan = F.broadcast(plan)
     passes = F.when(F.col("t") > 0, F.ceil(F.col("quota") / F.col("t"))).otherwise(1).cast("long")
     rows = rows.join(plan, "__source").withColumn("__epoch", F.explode(F.when(passes > 0, F.sequence(F.lit(0).cast("long"), passes - 1))))
     ident = [F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("__epoch").cast("string")]
