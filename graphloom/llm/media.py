@@ -111,7 +111,9 @@ def matches(found: DataFrame) -> DataFrame:
     parts = [f"k{i}" for i in range(TABLES)]
     p = F.struct("image_id", "n", "x", "y", "scale", "angle").alias("p")
     keys = F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])
-    rows = found.select(p, F.array(*parts).alias("k"), F.posexplode(keys).alias("t", "key"))
+    light = found.select("image_id", "n", F.posexplode(keys).alias("t", "key"))
+    shared = light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    rows = light.join(shared, "key").join(found, ["image_id", "n"]).select(p, F.array(*parts).alias("k"), "t", "key")
     for again in (F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda j: F.xxhash64("key", j, F.get("k", j))), F.array(F.xxhash64("key", "k"))):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)
         rows = rows.join(sizes, "key", "left").select("p", "k", "t", F.explode(F.when(F.col("size").isNull(), F.array("key")).otherwise(again)).alias("key"))
@@ -127,18 +129,35 @@ def matches(found: DataFrame) -> DataFrame:
     return pairs.unionByName(nearby).unionByName(starred).where("a.image_id < b.image_id")
 
 
+def agrees(m: np.ndarray) -> bool:
+    """m: a match in each row: n, x, y, scale, angle of either corner. Whether AGREE corners of both sides or more have one turn, one scale and one shift, within a bin's width. Bins overlap by half, so a border parts none."""
+    n, ax, ay, az, aw, o, bx, by, bz, bw = m.T
+    turn, ratio = (bw - aw) % (2 * np.pi), az / bz
+    x = bx - ratio * (np.cos(turn) * ax - np.sin(turn) * ay)
+    y = by - ratio * (np.sin(turn) * ax + np.cos(turn) * ay)
+    r = np.rint(2 * np.log2(ratio))
+    for k in range(8):
+        half = [0.5 * (k >> i & 1) for i in range(3)]
+        bins = np.stack([r, np.floor(turn / (np.pi / 6) + half[0]) % 12, np.floor(x / 12 + half[1]), np.floor(y / 12 + half[2])], axis=1)
+        _, of, size = np.unique(bins, axis=0, return_inverse=True, return_counts=True)
+        for g in np.flatnonzero(size >= AGREE):
+            if min(len(np.unique(n[of.ravel() == g])), len(np.unique(o[of.ravel() == g]))) >= AGREE:
+                return True
+    return False
+
+
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """Matches -> links (a, b): images of which AGREE corners or more move alike: by one turn, one scale and one shift, within a bin's width. Bins overlap by half, so a border parts none."""
-    turn = F.col("b.angle") - F.col("a.angle")
-    ratio = F.col("a.scale") / F.col("b.scale")
-    x = F.col("b.x") - ratio * (F.cos(turn) * F.col("a.x") - F.sin(turn) * F.col("a.y"))
-    y = F.col("b.y") - ratio * (F.sin(turn) * F.col("a.x") + F.cos(turn) * F.col("a.y"))
-    both = lambda v, width: F.array(F.floor(v / width), F.floor(v / width + 0.5) + 1_000_000)
-    wrapped = F.pmod(turn, F.lit(2 * np.pi))
-    bins = pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("o"), F.round(F.log2(ratio) * 2).cast("int").alias("r"), F.array(F.floor(wrapped / 0.5236), F.pmod(F.floor(wrapped / 0.5236 + 0.5), F.lit(12)) + 1_000_000).alias("ts"), both(x, 12.0).alias("xs"), both(y, 12.0).alias("ys"))
-    bins = bins.withColumn("t", F.explode("ts")).withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys"))
-    votes = bins.groupBy("a", "b", "r", "t", "x", "y").agg(F.size(F.collect_set("n")).alias("n"), F.size(F.collect_set("o")).alias("o"))
-    return votes.where((F.col("n") >= AGREE) & (F.col("o") >= AGREE)).select("a", "b").distinct()
+    """Matches -> links (a, b): images whose matches agree. An image pair has at most CORNERS x CORNERS matches."""
+    side = lambda p: [F.col(f"{p}.{c}").cast("double") for c in ("n", "x", "y", "scale", "angle")]
+    of = pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.array(*side("a"), *side("b")).alias("m"))
+    lists = of.groupBy("a", "b").agg(F.flatten(F.collect_set("m")).alias("m")).where(F.size("m") >= 10 * AGREE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [agrees(np.array(m).reshape(-1, 10)) for m in b.column(2).to_pylist()]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return lists.mapInArrow(run, "a long, b long")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
