@@ -112,15 +112,17 @@ def matches(found: DataFrame) -> DataFrame:
     p = F.struct("image_id", "n", "x", "y", "scale", "angle").alias("p")
     keys = F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])
     light = found.select("image_id", "n", F.posexplode(keys).alias("t", "key"))
-    shared = light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    rows = light.join(shared, "key").join(found, ["image_id", "n"]).select(p, F.array(*parts).alias("k"), "t", "key")
+    shared = light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = light.join(shared, "key").join(found, ["image_id", "n"]).select(p, F.array(*parts).alias("k"), "key", "size")
+    rows = met.where(F.col("size") > BUCKET).drop("size")
     for again in (F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda j: F.xxhash64("key", j, F.get("k", j))), F.array(F.xxhash64("key", "k"))):
         sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)
-        rows = rows.join(sizes, "key", "left").select("p", "k", "t", F.explode(F.when(F.col("size").isNull(), F.array("key")).otherwise(again)).alias("key"))
+        rows = rows.join(sizes, "key", "left").select("p", "k", F.explode(F.when(F.col("size").isNull(), F.array("key")).otherwise(again)).alias("key"))
     rows = rows.select("key", "p")
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("p").alias("first")).where("size > 1")
     rows = rows.join(sizes, "key")
-    few = rows.where(F.col("size") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    own = met.where(F.col("size") <= BUCKET).select("key", "p")
+    few = rows.where(F.col("size") <= BUCKET).select("key", "p").unionByName(own).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     pairs = few.select(F.explode("ps").alias("b"), "ps").select("b", F.explode(F.filter("ps", lambda q: q["image_id"] < F.col("b")["image_id"])).alias("a")).select("a", "b")
     many = rows.where(F.col("size") > BUCKET)
     block = F.pmod(F.xxhash64("p.n", F.col("p.image_id") / 4096), F.lit(64))
