@@ -88,7 +88,7 @@ def describe(pixels: np.ndarray) -> list[tuple[float, float, float, float, bytes
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """images (image_id, image) -> (image_id, n, x, y, scale, angle, k0 ... k3): a row for each described corner; four 32-bit parts of its bits."""
+    """images (image_id, image) -> (image_id, n, at, k01, k23): a row for each described corner. at: x, y, scale and angle as four floats; the others hold two of the four 32-bit parts of its bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,11 +96,11 @@ def descriptors(images: DataFrame) -> DataFrame:
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 pixels = decode(data)
                 if pixels is not None:
-                    rows += [(i, n, *f[:4], *np.frombuffer(f[4], ">u4").tolist()) for n, f in enumerate(describe(pixels))]
-            columns = list(zip(*rows, strict=True)) or [[]] * (6 + TABLES)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), *[pa.float64()] * 4, *[pa.int64()] * TABLES), strict=True)], names=["image_id", "n", "x", "y", "scale", "angle", *(f"k{i}" for i in range(TABLES))])
+                    rows += [(i, n, np.array(f[:4], np.float32).tobytes(), *np.frombuffer(f[4], ">i8").tolist()) for n, f in enumerate(describe(pixels))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["image_id", "n", "at", "k01", "k23"])
 
-    return images.mapInArrow(run, "image_id long, n int, x double, y double, scale double, angle double, " + ", ".join(f"k{i} long" for i in range(TABLES)))
+    return images.mapInArrow(run, "image_id long, n int, at binary, k01 long, k23 long")
 
 
 def matches(found: DataFrame) -> DataFrame:
@@ -108,10 +108,10 @@ def matches(found: DataFrame) -> DataFrame:
 
     Corners with one 32-bit part in common share a bucket. Buckets of more than BUCKET corners are dealt again by two parts, and then by all four; corners that are then still too many are equal, and each is paired with those next to it by image, and with the first. So pairs grow with the rows, at most by BUCKET.
     """
-    parts = [f"k{i}" for i in range(TABLES)]
-    p = F.struct("image_id", "n", "x", "y", "scale", "angle").alias("p")
+    parts = [x for k in ("k01", "k23") for x in (F.shiftrightunsigned(k, 32), F.col(k).bitwiseAND((1 << 32) - 1))]
+    p = F.struct("image_id", "n", "at").alias("p")
     keys = F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])
-    light = found.select("image_id", "n", F.posexplode(keys).alias("t", "key"))
+    light = found.select("image_id", "n", F.explode(keys).alias("key"))
     shared = light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = light.join(shared, "key").join(found, ["image_id", "n"]).select(p, F.array(*parts).alias("k"), "key", "size")
     rows = met.where(F.col("size") > BUCKET).drop("size")
@@ -150,13 +150,12 @@ def agrees(m: np.ndarray) -> bool:
 
 def agreeing(pairs: DataFrame) -> DataFrame:
     """Matches -> links (a, b): images whose matches agree. An image pair has at most CORNERS x CORNERS matches."""
-    side = lambda p: [F.col(f"{p}.{c}").cast("double") for c in ("n", "x", "y", "scale", "angle")]
-    of = pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.array(*side("a"), *side("b")).alias("m"))
-    lists = of.groupBy("a", "b").agg(F.flatten(F.collect_set("m")).alias("m")).where(F.size("m") >= 10 * AGREE)
+    of = pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.struct(F.col("a.n").alias("n"), F.col("a.at").alias("p"), F.col("b.n").alias("o"), F.col("b.at").alias("q")).alias("m"))
+    lists = of.groupBy("a", "b").agg(F.collect_set("m").alias("m")).where(F.size("m") >= AGREE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [agrees(np.array(m).reshape(-1, 10)) for m in b.column(2).to_pylist()]
+            good = [agrees(np.array([[x["n"], *np.frombuffer(x["p"], np.float32), x["o"], *np.frombuffer(x["q"], np.float32)] for x in m], np.float64)) for m in b.column(2).to_pylist()]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return lists.mapInArrow(run, "a long, b long")
