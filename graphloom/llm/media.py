@@ -169,7 +169,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     ready(images.sparkSession)
     rows = images.select(F.col("image_id").cast("long").alias("image_id"), "image").withColumn("digest", F.coalesce(F.sha2("image", 256), F.lit("")))
     firsts = cut(rows.groupBy("digest").agg(F.min("image_id").alias("first")))
-    single = rows.join(firsts.select("digest", F.col("first").alias("image_id")), ["digest", "image_id"], "left_semi").dropDuplicates(["digest"])
+    single = rows.groupBy("digest").agg(F.min("image_id").alias("image_id"), F.first("image").alias("image")).where(F.col("image_id").isNotNull())
     found = cut(descriptors(single.select("image_id", "image")))
     links = cut(agreeing(matches(found)))
     member = cut(components(links))
