@@ -26,21 +26,23 @@ def joined(strings: list[bytes]) -> np.ndarray:
 
 def transform(symbols: np.ndarray) -> Transform:
     """By doubling of prefixes; ends are all different, in order of place."""
-    ends, n, k = np.flatnonzero(symbols == 0), len(symbols), 7
+    ends, n = np.flatnonzero(symbols == 0), len(symbols)
+    bits = max(1, int(symbols.max()).bit_length())
+    k = 63 // bits
     rank, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(k):  # seven symbols of nine bits, none beyond an end
-        symbol = np.r_[symbols[i:], np.zeros(min(i, n), np.int16)]
-        rank = rank << 9 | np.where(open_, symbol, 0)
+    for i in range(k):  # as many symbols as a number holds, none beyond an end
+        symbol = np.r_[symbols[i:], np.zeros(min(i, n), symbols.dtype)].astype(np.int64)
+        rank = rank << bits | np.where(open_, symbol, 0)
         open_ &= symbol != 0
     rank[ends] = np.arange(len(ends))
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     fresh = np.r_[False, rank[order][1:] != rank[order][:-1]]
     fresh[: len(ends)] = True
     rank[order] = np.cumsum(fresh)
     while not fresh[1:].all() and k < n:
         key = rank * (n + 512)
         key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.r_[False, key[1:] != key[:-1]]
         rank = np.empty(n, np.int64)
@@ -55,7 +57,7 @@ def merge(a: Transform, b: Transform, shift: int, enough: int | None = None) ->
     side = np.r_[np.zeros(len(a.order), bool), np.ones(len(b.order), bool)]
     of_ends = np.r_[np.zeros(a.ends, bool), np.ones(b.ends, bool)]
     block, apart, common, h = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, np.int32), 0
-    before = np.empty(n, np.int16)
+    before = np.empty(n, a.before.dtype)
     while True:
         h += 1
         before[~side], before[side] = a.before, b.before
@@ -77,7 +79,7 @@ def merge(a: Transform, b: Transform, shift: int, enough: int | None = None) ->
     return Transform(order, before, ends, common)
 
 
-NOTHING = Transform(np.zeros(0, np.int64), np.zeros(0, np.int16), 0)
+NOTHING = Transform(np.zeros(0, np.int64), np.zeros(0, np.uint8), 0)
 
 
 def of_strings(strings: list[bytes], shard: int = 1 << 16, enough: int | None = None) -> Transform:
@@ -91,10 +93,11 @@ def of_strings(strings: list[bytes], shard: int = 1 << 16, enough: int | None =
             own, size = [], 0
     if own:
         parts.append(own)
-    made = []
-    for own in parts:
-        symbols = joined(own)
-        made.append((transform(symbols), len(symbols)))
+    return _merged([joined(own) for own in parts], enough)
+
+
+def _merged(shards: list[np.ndarray], enough: int | None) -> Transform:
+    made = [(transform(symbols), len(symbols)) for symbols in shards]
     if len(made) == 1:
         return merge(made[0][0], NOTHING, 0, enough)
     while len(made) > 1:
@@ -102,6 +105,44 @@ def of_strings(strings: list[bytes], shard: int = 1 << 16, enough: int | None =
     return made[0][0]
 
 
+def blocks(strings: list[bytes], width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each string as up to `width` strings of blocks of `width` bytes, from its first bytes on, as far as `length` bytes follow: numbers of blocks, each string with an end (0), and each symbol's place in the strings, one after another (-1: an end)."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    starts, fits = np.cumsum(sizes) - sizes, sizes - width + 1
+    phases = np.clip(sizes - length + 1, 0, width)
+    each, more = fits // width, fits % width
+    total = np.where(phases > 0, phases * each + np.minimum(phases, more) + phases, 0)
+    base = np.cumsum(total) - total
+    of = np.repeat(np.arange(len(strings)), sizes)
+    at = np.arange(len(data)) - starts[of]
+    place = np.flatnonzero((at < fits[of]) & (at % width < phases[of]))
+    of, at = of[place], at[place]
+    value = np.zeros(len(place), np.int64)
+    for i in range(width):
+        value = value << 8 | data[place + i]
+    phase = at % width
+    to = base[of] + phase * each[of] + np.minimum(phase, more[of]) + phase + at // width
+    known, number = np.unique(value, return_inverse=True)
+    symbols = np.zeros(int(total.sum()), np.uint16 if len(known) < 1 << 16 else np.int32)
+    places = np.full(len(symbols), -1)
+    symbols[to], places[to] = number + 1, place
+    return symbols, places
+
+
+def repeats(strings: list[bytes], length: int, shard: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in the strings, one after another) where a string of `length` bytes begins that begins elsewhere too, and the number of its interval; intervals ascend. Transforms are of blocks of bytes, so that a round of a merge sorts by a whole block."""
+    width = max(d for d in range(1, 7) if length % d == 0)
+    symbols, places = blocks(strings, width, length)
+    if not len(symbols):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.flatnonzero(symbols == 0) + 1
+    cuts = ends[np.flatnonzero(np.diff(ends // shard, prepend=0))]
+    t = _merged([x for x in np.split(symbols, cuts) if len(x)], length // width)
+    at, interval = repeated(t, length // width)
+    return places[at], interval
+
+
 def repeated(t: Transform, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of suffixes that share `least` symbols with another, and the number of the interval each is in; intervals ascend."""
     same = t.common >= least

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ready, spread, table
-from .merged_bwt import of_strings, repeated
+from .merged_bwt import repeats
 
 LENGTH, GRAM = 50, 16
 #: Contexts of one anchor beyond which its strings are dealt one by one, contexts that are transformed together, and anchors of a partition.
-SPLIT, TOGETHER, ANCHORS = 4096, 1500, 1_500_000
+SPLIT, TOGETHER, ANCHORS = 4096, 800, 1_500_000
 #: A place and a context's length in one number.
 SPAN = 1 << 10
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -230,16 +230,20 @@ def _covers(length: int):
             if not heads:
                 return
             strings = [x[0] for x in heads]
-            sizes = np.fromiter((len(s) + 1 for s in strings), np.int64, len(strings))
+            sizes = np.fromiter(map(len, strings), np.int64, len(strings))
             starts = np.cumsum(sizes) - sizes
-            places, interval = repeated(of_strings(strings, enough=length), length)
+            places, interval = repeats(strings, length)
             if len(places):
                 of = np.searchsorted(starts, places, "right") - 1
                 ms = np.array([x[1] for x in heads], np.int64)[of]
-                first = np.r_[0, np.flatnonzero(np.diff(interval)) + 1]
+                first = np.flatnonzero(np.diff(interval, prepend=-1))
                 low = np.repeat(np.minimum.reduceat(ms, first), np.diff(np.r_[first, len(ms)]))
-                for i, at in zip(of[ms > low].tolist(), (places - starts[of])[ms > low].tolist(), strict=True):
-                    out.extend((tid, lo + at, lo + at + length) for tid, lo in heads[i][2])
+                gone = np.sort(places[ms > low])
+                of = np.searchsorted(starts, gone, "right") - 1
+                first = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(gone, prepend=0) > length))
+                ends = gone[np.r_[first[1:], len(gone)] - 1] + length if len(gone) else gone
+                for i, at, end in zip(of[first].tolist(), (gone - starts[of])[first].tolist(), (ends - starts[of[first]]).tolist(), strict=True):
+                    out.extend((tid, lo + at, lo + end) for tid, lo in heads[i][2])
             heads = []
 
         def ready_rows() -> pa.RecordBatch:
