@@ -15,6 +15,8 @@ from .merged_bwt import repeats
 LENGTH, GRAM = 50, 16
 #: Contexts of one anchor beyond which its strings are dealt one by one, contexts that are transformed together, and anchors of a partition.
 SPLIT, TOGETHER, ANCHORS = 4096, 800, 1_500_000
+#: Anchors that a task packs before it sends them.
+PACKED = 1_000_000
 #: A place and a context's length in one number.
 SPAN = 1 << 10
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -33,10 +35,8 @@ def _slide(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(out[: len(a) - width + 1], out[width - size : width - size + len(a) - width + 1]) if width > size else out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """data: texts' bytes, one after another; ends[owner[i]]: the end of byte i's text -> places and hashes of the grams that are smallest in some string of `length` bytes of a text. Equal strings so have equal anchors at equal places."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _grams(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and the smallest in each string of `length` bytes; 0 where a text has none."""
     whole, done, h, powers = data.astype(np.uint64) + np.uint64(1), 0, None, {1: data.astype(np.uint64) + np.uint64(1)}
     size = 1
     while 2 * size <= gram:
@@ -51,15 +51,45 @@ def anchors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int,
     h = h[: len(whole) - gram + 1]
     h = (h ^ (h >> np.uint64(32))) * P
     h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
-    width = length - gram + 1
-    least = _slide(h, width, np.minimum)
+    least = _slide(h, length - gram + 1, np.minimum)
     least[ends[owner[: len(least)]] - np.arange(len(least)) < length] = 0
+    return h, least
+
+
+def _anchors(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    width = len(h) - len(least) + 1
     pad = np.zeros(width - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), width, np.maximum)[: len(h)]
-    at = np.flatnonzero(most == h)
+    return np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum)[: len(h)] == h)
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """data: texts' bytes, one after another; ends[owner[i]]: the end of byte i's text -> places and hashes of the grams that are smallest in some string of `length` bytes of a text. Equal strings so have equal anchors at equal places."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, least = _grams(data, ends, owner, length, gram)
+    at = _anchors(h, least)
     return at, h[at]
 
 
+def owned(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors' places and hashes, and the first and last place where a string begins that is the anchor's own: of its smallest grams, the anchor is the leftmost. So each string has one anchor, which depends on the string only."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, least = _grams(data, ends, owner, length, gram)
+    at = _anchors(h, least)
+    string = np.flatnonzero(least)
+    flags = np.zeros(len(h) + 1, np.int64)
+    flags[at + 1] = 1
+    of = np.cumsum(flags)[string]
+    wrong = np.flatnonzero(h[at[of]] != least[string])
+    while len(wrong):
+        of[wrong] += 1
+        wrong = wrong[h[at[of[wrong]]] != least[string[wrong]]]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    at = at[of[first]]
+    return at, h[at], string[first], string[np.r_[first[1:], len(string)] - 1]
+
+
 _POWERS: list[np.ndarray] = []
 
 
@@ -77,26 +107,63 @@ def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * P
 
 
-def sides(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Four 12-bit hashes for each anchor. A string of `length` bytes around an anchor has it at one of the places that its hash stands for, so two anchors that share such a string share one of the four; where a text is too short for one, it is the place's own."""
+def sides(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Four 12-bit hashes for each anchor. A string of the anchor's own has it at one of the places that a hash stands for, so two anchors that share such a string share that hash; where none of its strings has it there, it is the place's own."""
     rest = length - gram
     out = np.zeros(len(at), np.uint64)
     for i in range(4):
-        left, right = i * rest // 4, rest - (i + 1) * rest // 4
-        lo, hi = at - left, at + gram + right
-        inside = (lo >= start) & (hi <= end)
-        x = digests(data, np.where(inside, lo, at), np.where(inside, hi, at))
-        x = np.where(inside, x, at.astype(np.uint64) * P + start.astype(np.uint64))
+        left, right, end = i * rest // 4, rest - (i + 1) * rest // 4, (i + 1) * rest // 4 + i // 3
+        inside = (at - last < end) & (at - first >= left)
+        x = digests(data, np.where(inside, at - left, at), np.where(inside, at + gram + right, at))
+        x = np.where(inside, x, (at * 4 + i).astype(np.uint64) * P)
         out |= (x >> np.uint64(52)) << np.uint64(12 * i)
     return out
 
 
-def _anchor_rows(length: int, gram: int):
-    """Rows (doc_id, tid, text) -> for each anchor: its hash, 48 bits of its context's, its sides, m, tid and the context's span."""
+def _pack(h: np.ndarray, c: np.ndarray, s: np.ndarray, lo: np.ndarray, size: np.ndarray, m: np.ndarray, tid: np.ndarray) -> bytes:
+    """Anchors' rows, those of a text together, as bytes: each text's m and tid once, steps of places by planes of bytes."""
+    new = np.r_[True, (tid[1:] != tid[:-1]) | (m[1:] != m[:-1])]
+    step = np.diff(lo.astype(np.uint32), prepend=np.uint32(0))
+    head = np.array([len(h), np.count_nonzero(new)], np.int64)
+    return b"".join(x.tobytes() for x in (head, h, c, s, m[new], tid[new], step.view(np.uint8).reshape(-1, 4).T.copy(), size.astype(np.uint16), new))
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """h, c, s, m, tid and the context's span of packed anchors."""
+    n, texts = np.frombuffer(data, np.int64, 2).tolist()
+    at = 16
+
+    def take(kind, count: int) -> np.ndarray:
+        nonlocal at
+        x = np.frombuffer(data, kind, count, at)
+        at += x.nbytes
+        return x
+
+    h, c, s, m, tid = take(np.int64, n), take(np.int64, n), take(np.int32, n), take(np.int64, texts), take(np.int64, texts)
+    step = take(np.uint8, 4 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
+    lo, size = np.cumsum(step, dtype=np.uint32).astype(np.int64), take(np.uint16, n).astype(np.int64)
+    of = np.cumsum(take(bool, n)) - 1
+    return h, c, s, m[of], tid[of], lo * SPAN + size
+
+
+def _anchor_rows(length: int, gram: int, parts: int):
+    """Rows (doc_id, tid, text) -> (part, rows): packed for each part, each anchor's hash, 48 bits of its context's, its sides, m, tid and the context's span. A context is the bytes of the anchor's own strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            found.clear()
+            part = (columns[0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, columns = part[order], [x[order] for x in columns]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            packed = [_pack(*(x[lo:hi] for x in columns)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
+            return pa.record_batch([pa.array(part[first]), pa.array(packed, pa.binary())], names=["part", "rows"])
+
         for b in batches:
-            texts, ids, tids = b.column(2).to_pylist(), b.column(0).to_numpy(), b.column(1).to_numpy()
+            texts, ids, tids = b.column(2).to_pylist(), b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
@@ -106,27 +173,29 @@ def _anchor_rows(length: int, gram: int):
                 sizes = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
                 ends, owner = np.cumsum(sizes), np.repeat(np.arange(hi - lo), sizes)
                 data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
-                at, h = anchors(data, ends, owner, length, gram)
+                at, h, from_, last = owned(data, ends, owner, length, gram)
                 of = owner[at]
-                start = ends[of] - sizes[of]
-                from_, to = np.maximum(at - (length - gram), start), np.minimum(at + length, ends[of])
-                c = digests(data, from_, to) >> np.uint64(16)
-                s = sides(data, at, start, ends[of], length, gram)
-                c, s = c << np.uint64(16) | s & np.uint64(0xFFFF), (s >> np.uint64(16)).astype(np.int32)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(s), pa.array(ids[lo + of]), pa.array(tids[lo + of]), pa.array((from_ - start) * SPAN + to - from_)], names=["h", "c", "s", "m", "tid", "span"])
+                c = digests(data, from_, last + length) >> np.uint64(16)
+                s = sides(data, at, from_, last, length, gram)
+                c, s = c << np.uint64(16) | s & np.uint64(0xFFFF), (s >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                found.append((h.view(np.int64), c.view(np.int64), s, from_ - (ends[of] - sizes[of]), last + length - from_, ids[lo + of], tids[lo + of]))
+                if sum(len(x[0]) for x in found) > PACKED:
+                    yield send()
                 lo = hi
+        if found:
+            yield send()
 
     return run
 
 
 def _shared(split: int):
-    """Rows (h, c, s, m, tid, span), all of an h in one partition -> (tid, kind, g, span) of anchors that two documents have.
+    """Rows (part, packed anchors), all of an anchor's hash in one partition -> (tid, kind, g, span) of anchors that two documents have.
 
     kind 0: an earlier document has the whole context. 1: no earlier one has it, but other contexts of the anchor share a side, so strings in it may repeat; g is the anchor. 2: the same, of an anchor with more than `split` contexts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        held = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
         if not held:
             return
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -310,8 +379,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = marked.where("first").select("doc_id", "tid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(ready(docs.sparkSession).conf.get("spark.sql.shuffle.partitions")), size * 2 // (LENGTH - GRAM + 2) // ANCHORS)
-    found = single.mapInArrow(_anchor_rows(LENGTH, GRAM), "h long, c long, s int, m long, tid long, span long")
-    shared = found.repartition(parts, "h").mapInArrow(_shared(SPLIT), "tid long, kind int, g long, span long")
+    found = single.mapInArrow(_anchor_rows(LENGTH, GRAM, parts), "part int, rows binary")
+    shared = found.repartitionById(parts, F.col("part")).mapInArrow(_shared(SPLIT), "tid long, kind int, g long, span long")
     by_text = shared.groupBy("tid").agg(F.collect_list(F.struct("kind", "g", "span")).alias("anchors"))
     contexts = single.join(by_text, "tid").select("doc_id", "tid", "text", "anchors").mapInArrow(_contexts(LENGTH), "g long, context binary, m long, tid long, lo long, hi long")
     covers = contexts.repartition("g").sortWithinPartitions("g", "context", "m").mapInArrow(_covers(LENGTH), "tid long, lo long, hi long")

@@ -83,3 +83,40 @@ def test_overlaps_and_crowds(spark, monkeypatch, split):
     rows = [(i, "".join(rng.choice(list("xyz "), int(rng.integers(0, 40)))) + passage[int(rng.integers(0, 60)) : int(rng.integers(60, 121))] + "".join(rng.choice(list("uvw "), int(rng.integers(0, 40))))) for i in range(60)]
     rows += [(60, passage), (61, passage), (62, "ab" * 80), (63, "ba" * 90), (64, passage[:49]), (65, passage[:50]), (3, passage * 2)]
     assert ask(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+@pytest.mark.parametrize("length,shard", [(50, 64), (50, 1 << 15), (7, 32), (12, 100)])
+def test_repeats_are_those_of_brute_force(length, shard):
+    rng = np.random.default_rng(length + shard)
+    strings = [bytes(rng.integers(97, 99, rng.integers(1, 90)).astype(np.uint8)) for _ in range(40)]
+    strings += [strings[0], strings[1][3:], b"x" * 80, b"x" * (length - 1)]
+    places, interval = merged_bwt.repeats(strings, length, shard)
+    whole, starts, of = b"".join(strings), np.cumsum([0, *map(len, strings)]), {}
+    for s, lo in zip(strings, starts):
+        for i in range(len(s) - length + 1):
+            of.setdefault(s[i : i + length], []).append(int(lo) + i)
+    want = sorted(tuple(v) for v in of.values() if len(v) > 1)
+    assert sorted(tuple(sorted(places[interval == k].tolist())) for k in np.unique(interval)) == want
+
+
+def test_each_string_has_one_anchor():
+    rng = np.random.default_rng(2)
+    for kinds in (1, 2, 100):
+        data = rng.integers(0, kinds, 3000).astype(np.uint8)
+        sizes = np.array([1000, 900, 40, 1060])
+        ends, owner = np.cumsum(sizes), np.repeat(np.arange(4), sizes)
+        at, h, first, last = substrings.owned(data, ends, owner, 50, 16)
+        strings = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(first, last)])
+        assert sorted(strings.tolist()) == [s for s in range(2951) if ends[owner[s]] - s >= 50]
+        assert (at >= last).all() and (at + 16 <= first + 50).all()
+
+
+def test_packed_anchors_come_back():
+    rng = np.random.default_rng(3)
+    n = 500
+    of = np.sort(rng.integers(0, 40, n))
+    m, tid, lo = of.astype(np.int64), of * 7919 - 5, rng.integers(0, 1 << 31, n)
+    h, c, s, size = rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32), rng.integers(50, 85, n)
+    back = substrings._unpack(substrings._pack(h, c, s, lo, size, m, tid))
+    for x, y in zip(back, (h, c, s, m, tid, lo * substrings.SPAN + size), strict=True):
+        assert np.array_equal(x, y)
