@@ -108,7 +108,7 @@ def digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def sides(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Four 12-bit hashes for each anchor. A string of the anchor's own has it at one of the places that a hash stands for, so two anchors that share such a string share that hash; where none of its strings has it there, it is the place's own."""
+    """Four 8-bit hashes for each anchor. A string of the anchor's own has it at one of the places that a hash stands for, so two anchors that share such a string share that hash; where none of its strings has it there, it is the place's own."""
     rest = length - gram
     out = np.zeros(len(at), np.uint64)
     for i in range(4):
@@ -116,16 +116,17 @@ def sides(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray,
         inside = (at - last < end) & (at - first >= left)
         x = digests(data, np.where(inside, at - left, at), np.where(inside, at + gram + right, at))
         x = np.where(inside, x, (at * 4 + i).astype(np.uint64) * P)
-        out |= (x >> np.uint64(52)) << np.uint64(12 * i)
-    return out
+        out |= (x >> np.uint64(56)) << np.uint64(8 * i)
+    return out.astype(np.uint32)
 
 
 def _pack(h: np.ndarray, c: np.ndarray, s: np.ndarray, lo: np.ndarray, size: np.ndarray, m: np.ndarray, tid: np.ndarray) -> bytes:
-    """Anchors' rows, those of a text together, as bytes: each text's m and tid once, steps of places by planes of bytes."""
+    """Anchors' rows, those of a text together, as bytes: each text's m and tid once, numbers with empty bytes by planes of bytes, so that they compress."""
     new = np.r_[True, (tid[1:] != tid[:-1]) | (m[1:] != m[:-1])]
     step = np.diff(lo.astype(np.uint32), prepend=np.uint32(0))
     head = np.array([len(h), np.count_nonzero(new)], np.int64)
-    return b"".join(x.tobytes() for x in (head, h, c, s, m[new], tid[new], step.view(np.uint8).reshape(-1, 4).T.copy(), size.astype(np.uint16), new))
+    planes = lambda x: x.view(np.uint8).reshape(-1, x.itemsize).T
+    return b"".join(x.tobytes() for x in (head, h, planes(c), s, planes(m[new]), tid[new], planes(step), planes(size.astype(np.uint16)), np.packbits(new)))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
@@ -139,10 +140,13 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
         at += x.nbytes
         return x
 
-    h, c, s, m, tid = take(np.int64, n), take(np.int64, n), take(np.int32, n), take(np.int64, texts), take(np.int64, texts)
-    step = take(np.uint8, 4 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
-    lo, size = np.cumsum(step, dtype=np.uint32).astype(np.int64), take(np.uint16, n).astype(np.int64)
-    of = np.cumsum(take(bool, n)) - 1
+    def planes(kind, count: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return take(np.uint8, width * count).reshape(width, count).T.copy().view(kind).ravel()
+
+    h, c, s, m, tid = take(np.int64, n), planes(np.int64, n), take(np.uint32, n), planes(np.int64, texts), take(np.int64, texts)
+    lo, size = np.cumsum(planes(np.uint32, n), dtype=np.uint32).astype(np.int64), planes(np.uint16, n).astype(np.int64)
+    of = np.cumsum(np.unpackbits(take(np.uint8, (n + 7) // 8), count=n)) - 1
     return h, c, s, m[of], tid[of], lo * SPAN + size
 
 
@@ -177,7 +181,6 @@ def _anchor_rows(length: int, gram: int, parts: int):
                 of = owner[at]
                 c = digests(data, from_, last + length) >> np.uint64(16)
                 s = sides(data, at, from_, last, length, gram)
-                c, s = c << np.uint64(16) | s & np.uint64(0xFFFF), (s >> np.uint64(16)).astype(np.uint32).view(np.int32)
                 found.append((h.view(np.int64), c.view(np.int64), s, from_ - (ends[of] - sizes[of]), last + length - from_, ids[lo + of], tids[lo + of]))
                 if sum(len(x[0]) for x in found) > PACKED:
                     yield send()
@@ -206,8 +209,6 @@ def _shared(split: int):
         order = order[~(fresh & np.r_[fresh[1:], True])]
         h, c, s, m, tid, span = (x[order] for x in columns)
         del columns
-        s = s.view(np.uint32).astype(np.uint64) << np.uint64(16) | c.view(np.uint64) & np.uint64(0xFFFF)
-        c = c >> 16
         order = np.lexsort((m, c, h))
         h, c, s, m, tid, span = (x[order] for x in (h, c, s, m, tid, span))
         if not len(h):
@@ -222,7 +223,7 @@ def _shared(split: int):
         heads = np.flatnonzero(new)
         alike = np.zeros(len(heads), bool)
         for i in range(4):
-            side = (group[heads] << 12) | ((s[heads] >> np.uint64(12 * i)) & np.uint64(0xFFF)).astype(np.int64)
+            side = (group[heads] << 8) | (s[heads] >> np.uint32(8 * i) & np.uint32(0xFF)).astype(np.int64)
             _, of, n = np.unique(side, return_inverse=True, return_counts=True)
             alike |= n[of] > 1
         keep = covered | (several & (contexts > 1) & alike[np.cumsum(new) - 1])

@@ -116,7 +116,7 @@ def test_packed_anchors_come_back():
     n = 500
     of = np.sort(rng.integers(0, 40, n))
     m, tid, lo = of.astype(np.int64), of * 7919 - 5, rng.integers(0, 1 << 31, n)
-    h, c, s, size = rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-(1 << 62), 1 << 62, n), rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32), rng.integers(50, 85, n)
+    h, c, s, size = rng.integers(-(1 << 62), 1 << 62, n), rng.integers(0, 1 << 48, n), rng.integers(0, 1 << 32, n).astype(np.uint32), rng.integers(50, 85, n)
     back = substrings._unpack(substrings._pack(h, c, s, lo, size, m, tid))
     for x, y in zip(back, (h, c, s, m, tid, lo * substrings.SPAN + size), strict=True):
         assert np.array_equal(x, y)
