@@ -125,8 +125,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near_copies: min-hashes of a band and bands; the SimHash radius that pairs of similarity 0.8 keep within but for one in a thousand; hashes kept of a set; rows of a block of a large shard.
-BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK = 4, 12, 20, 192, 2048
+#: For near_copies: min-hashes of a band and bands; the SimHash radius that pairs of similarity 0.8 keep within but for one in a thousand; hashes kept of a set; rows of a block of a large shard; bytes of whole sets in a block of a shard that needs them.
+BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK, BYTES = 4, 12, 20, 192, 2048, 1 << 25
+#: Sketches decide a pair only where they are this many deviations off the threshold, or, where they hold whole sets (of 32 bits a hash), this much.
+DEVIATIONS, WHOLE_MARGIN = 6, 0.02
 _MULTIPLIERS = np.random.default_rng(29).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -148,10 +150,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
 
 
+def whole_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def verdict(a: np.ndarray, b: np.ndarray, least: float) -> int:
+    """What two sketches say of a pair: 1 a link, -1 none, 0 too near the threshold to tell."""
+    margin = WHOLE_MARGIN if max(len(a), len(b)) < SKETCH else DEVIATIONS * (least * (1 - least) / SKETCH) ** 0.5
+    off = similarity(a, b) - least
+    return 0 if abs(off) <= margin else 1 if off > 0 else -1
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id), a row for each distinct doc_id that isn't null: documents whose sets of `shingle`-word shingles have a Jaccard similarity of `least` or more are linked; component_id is the smallest doc_id reachable.
 
-    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints finds those within WIDE_RADIUS bits, and sketches decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
+    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints finds those within WIDE_RADIUS bits, and sketches decide pairs well off the threshold. Documents of other pairs that are then still apart meet again in the shard with their whole sets, which decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
     """
     ready(docs.sparkSession)
 
@@ -182,12 +197,59 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            ids, fp, sketches = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            g, ids, fp, sketches = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
             sketch = lambda i: np.frombuffer(sketches[int(i)].as_py(), np.uint32)
-            a, to = links(fp.view(np.uint64)[:, None], group_starts(b.column(0)), WIDE_RADIUS, lambda x, y: np.fromiter((similarity(sketch(i), sketch(j)) >= least for i, j in zip(x, y, strict=True)), bool, len(x)))
+            open_a, open_b = [], []
+
+            def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                said = np.fromiter((verdict(sketch(i), sketch(j), least) for i, j in zip(x, y, strict=True)), np.int8, len(x))
+                open_a.append(x[said == 0])
+                open_b.append(y[said == 0])
+                return said > 0
+
+            a, to = links(fp.view(np.uint64)[:, None], group_starts(b.column(0)), WIDE_RADIUS, accept)
+            top = np.arange(len(ids))
+            top[a] = to
+            x, y = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (open_a, open_b))
+            apart = top[x] != top[y]
+            unsure = np.unique(np.r_[x[apart], y[apart]])
+            n = len(unsure)
+            yield pa.record_batch([pa.array(np.r_[ids[a], ids[unsure]]), pa.array([*ids[to].tolist(), *[None] * n], pa.int64()), pa.array([*[None] * len(a), *g[unsure].tolist()], pa.int64())], names=["a", "b", "g"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(map(xxhash.xxh3_128_hexdigest, found), pa.string()), pa.array(found, pa.binary())], names=["doc_id", "same", "whole"])
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            ids, fp, of, sketches, wholes = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4), b.column(5)
+            read = lambda column, i, kind: np.frombuffer(column[int(i)].as_py(), kind)
+
+            def one(i: int, j: int) -> bool:
+                said = 1 if of[i] == of[j] else verdict(read(sketches, i, np.uint32), read(sketches, j, np.uint32), least)
+                return said > 0 or said == 0 and whole_similarity(read(wholes, i, np.uint64), read(wholes, j, np.uint64)) >= least
+
+            a, to = links(fp.view(np.uint64)[:, None], group_starts(b.column(0)), WIDE_RADIUS, lambda x, y: np.fromiter((one(i, j) for i, j in zip(x, y, strict=True)), bool, len(x)))
             yield pa.record_batch([pa.array(ids[a]), pa.array(ids[to])], names=["a", "b"])
 
-    edges = dealt.select("g", "doc_id", "fp", "sketch").repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long")
+    told = cut(dealt.select("g", "doc_id", "fp", "sketch").repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long, g long"))
+    edges = told.where("b is not null").select("a", "b")
+    unsure = told.where("b is null").select("g", F.col("a").alias("doc_id"))
+    if unsure.limit(1).count():
+        member = components(edges)
+        unsure = unsure.join(member, unsure["doc_id"] == member["node"], "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("of"))
+        several = unsure.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("g")
+        unsure = cut(unsure.join(several, "g", "left_semi"))
+        ids = unsure.select("doc_id").distinct()
+        texts = spread(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, same string, whole binary")
+        rows = cut(own.join(reps, ["doc_id", "same"], "left_semi").join(ids, "doc_id", "left_semi").select("doc_id", "same", "fp", "sketch").join(texts, ["doc_id", "same"]).drop("same").dropDuplicates(["doc_id"]))
+        sized = unsure.join(rows.select("doc_id", F.octet_length("whole").alias("size")), "doc_id")
+        parts = sized.groupBy("g").agg(F.ceil(F.sum("size") / BYTES).alias("n"))
+        block = F.pmod(F.xxhash64("doc_id"), F.col("n"))
+        keys = F.when(F.col("n") <= 1, F.array("g")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.xxhash64("g", F.least(block, j), F.greatest(block, j))))
+        again = unsure.join(parts, "g").select(F.explode(keys).alias("g"), "doc_id", "of").join(rows, "doc_id")
+        edges = edges.unionByName(again.select("g", "doc_id", "fp", "of", "sketch", "whole").repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(exactly, "a long, b long"))
     linked = components(edges)
     of = cut(firsts.join(linked, firsts["first"] == linked["node"], "left").select("same", F.coalesce("component", "first").alias("component_id")))
     return single.join(of, "same").select("doc_id", "component_id")

@@ -50,6 +50,23 @@ def test_near_copies_are_brute_force(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def test_long_texts_near_the_threshold_are_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 800)]
+        for n in (0, *rng.integers(15, 21, 2)):  # replaced words: similarities from 0.76 to 0.84
+            own = list(base)
+            for at in rng.choice(160, n, replace=False) * 5:
+                own[at] = f"other{len(rows)}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+    monkeypatch.setattr(simhash, "BYTES", 10_000)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
 def test_crowds_beyond_a_block_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rows = [(i, " ".join(f"w{j}" for j in range(200)) + f" x{i}") for i in range(60)]
