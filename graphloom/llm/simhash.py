@@ -166,7 +166,7 @@ def verdict(a: np.ndarray, b: np.ndarray, least: float) -> int:
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id), a row for each distinct doc_id that isn't null: documents whose sets of `shingle`-word shingles have a Jaccard similarity of `least` or more are linked; component_id is the smallest doc_id reachable.
 
-    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints finds those within WIDE_RADIUS bits, and sketches decide pairs well off the threshold. Documents of other pairs that are then still apart meet again in the shard with their whole sets, which decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
+    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints of the sets finds those within WIDE_RADIUS bits, and sketches decide pairs well off the threshold. Documents of other pairs that are then still apart meet again in the shard with their whole sets, which decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
     """
     ready(docs.sparkSession)
 
@@ -175,9 +175,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                h = shingle_hashes(t or b"", shingle)
-                distinct = np.unique(h)
-                out.append((i, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fingerprint(h) - (1 << 63), np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes(), _bands(distinct)))
+                distinct = np.unique(shingle_hashes(t or b"", shingle))
+                out.append((i, xxhash.xxh3_128_hexdigest(distinct.tobytes()), fingerprint(distinct) - (1 << 63), np.unique((distinct >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes(), _bands(distinct)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "same", "fp", "sketch", "bands"])
 

@@ -67,6 +67,16 @@ def test_long_texts_near_the_threshold_are_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_copies_that_differ_by_repeats_of_a_line(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(8):
+        base, line = ([f"w{i}" for i in rng.integers(0, 5000, n)] for n in (400, 8))
+        rows += [(len(rows) + k, " ".join(base + line * n)) for k, n in enumerate((1, 20, 60))]
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(rows) == {i: i - i % 3 for i in range(24)}
+
+
 def test_crowds_beyond_a_block_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rows = [(i, " ".join(f"w{j}" for j in range(200)) + f" x{i}") for i in range(60)]
