@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, ready, table
 from .components import components
+from .simhash import group_starts, whole_groups
 
 SCALES = (1.0, 0.7071, 0.5)
-#: Radius of a descriptor's patch; the strongest corners of an image that are described; bits and tables; most images of a bucket that are paired outright; matches in agreement that make a copy.
-RADIUS, CORNERS, BITS, TABLES, BUCKET, AGREE = 7, 96, 128, 4, 32, 5
+#: Radius of a descriptor's patch; the strongest corners of an image that are described; bits and tables; corners of a block of a large bucket; matches in agreement that make a copy.
+RADIUS, CORNERS, BITS, TABLES, BUCKET, AGREE = 7, 96, 128, 4, 256, 5
 _RNG = np.random.default_rng(41)
 TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -104,31 +105,39 @@ def descriptors(images: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """Descriptors -> pairs (a.*, b.*) of two images' corners that a Hamming table holds together.
+    """Descriptors -> (a, b, n, o): corner n of image a and corner o of image b, a < b, have a 32-bit part in common; each match once.
 
-    Corners with one 32-bit part in common share a bucket. Buckets of more than BUCKET corners are dealt again by two parts, and then by all four; corners that are then still too many are equal, and each is paired with those next to it by image, and with the first. So pairs grow with the rows, at most by BUCKET.
+    Corners with a part in common share a bucket. A bucket of more than BUCKET corners is dealt into pairs of blocks, so it loses no match, but its matches grow with its square.
     """
     parts = [x for k in ("k01", "k23") for x in (F.shiftrightunsigned(k, 32), F.col(k).bitwiseAND((1 << 32) - 1))]
-    p = F.struct("image_id", "n", "at").alias("p")
-    keys = F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])
-    light = found.select("image_id", "n", F.explode(keys).alias("key"))
-    shared = light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = light.join(shared, "key").join(found, ["image_id", "n"]).select(p, F.array(*parts).alias("k"), "key", "size")
-    rows = met.where(F.col("size") > BUCKET).drop("size")
-    for again in (F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda j: F.xxhash64("key", j, F.get("k", j))), F.array(F.xxhash64("key", "k"))):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)
-        rows = rows.join(sizes, "key", "left").select("p", "k", F.explode(F.when(F.col("size").isNull(), F.array("key")).otherwise(again)).alias("key"))
-    rows = rows.select("key", "p")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("p").alias("first")).where("size > 1")
-    rows = rows.join(sizes, "key")
-    own = met.where(F.col("size") <= BUCKET).select("key", "p")
-    few = rows.where(F.col("size") <= BUCKET).select("key", "p").unionByName(own).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    pairs = few.select(F.explode("ps").alias("b"), "ps").select("b", F.explode(F.filter("ps", lambda q: q["image_id"] < F.col("b")["image_id"])).alias("a")).select("a", "b")
-    many = rows.where(F.col("size") > BUCKET)
-    block = F.pmod(F.xxhash64("p.n", F.col("p.image_id") / 4096), F.lit(64))
-    nearby = many.withColumn("a", F.lag("p").over(W.partitionBy("key", block).orderBy("p"))).select("a", F.col("p").alias("b")).where("a is not null")
-    starred = many.select(F.col("first").alias("a"), F.col("p").alias("b"))
-    return pairs.unionByName(nearby).unionByName(starred).where("a.image_id < b.image_id")
+    light = found.select("image_id", "n", *[x.alias(f"k{i}") for i, x in enumerate(parts)], F.posexplode(F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])).alias("part", "key"))
+    shared = light.groupBy("key").agg(F.count("*").alias("size"), F.min("image_id").alias("x"), F.max("image_id").alias("y")).where("x < y").select("key", F.ceil(F.col("size") / BUCKET).alias("blocks"))
+    block = F.pmod(F.xxhash64("image_id", "n"), F.col("blocks"))
+    dealt = light.join(shared, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["image_id", "n", "part", "block", "other", *[f"k{i}" for i in range(TABLES)]]
+    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_groups(batches):
+            image, n, part, block, other, *k = (c.to_numpy() for c in b.columns[1:])
+            starts = group_starts(b.column(0))
+            end = np.repeat(np.r_[starts[1:], b.num_rows], np.diff(np.r_[starts, b.num_rows]))
+            x, d, found = np.arange(b.num_rows), 0, []
+            while True:
+                d += 1
+                x = x[x + d < end[x]]
+                if not x.size:
+                    break
+                y = x + d
+                good = (image[x] != image[y]) & ((block[x] != block[y]) | (block[x] == other[x]))
+                for i in range(TABLES - 1):  # a match is told by the first part in common
+                    good &= (part[x] <= i) | (k[i][x] != k[i][y])
+                found.append(np.stack([x[good], y[good]]))
+            x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            x, y = np.where(image[x] < image[y], x, y), np.where(image[x] < image[y], y, x)
+            yield pa.record_batch([pa.array(image[x]), pa.array(image[y]), pa.array(n[x]), pa.array(n[y])], names=["a", "b", "n", "o"])
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, n int, o int")
 
 
 def agrees(m: np.ndarray) -> bool:
@@ -148,14 +157,19 @@ def agrees(m: np.ndarray) -> bool:
     return False
 
 
-def agreeing(pairs: DataFrame) -> DataFrame:
-    """Matches -> links (a, b): images whose matches agree. An image pair has at most CORNERS x CORNERS matches."""
-    of = pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b"), F.struct(F.col("a.n").alias("n"), F.col("a.at").alias("p"), F.col("b.n").alias("o"), F.col("b.at").alias("q")).alias("m"))
-    lists = of.groupBy("a", "b").agg(F.collect_set("m").alias("m")).where(F.size("m") >= AGREE)
+def agreeing(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Matches and the descriptors they are of -> links (a, b): images whose matches agree."""
+    lists = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("n", "o")).alias("m")).where((F.size(F.array_distinct("m.n")) >= AGREE) & (F.size(F.array_distinct("m.o")) >= AGREE))
+    corners = found.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "at"))), lambda c: c["at"]).alias("at"))
+    side = lambda name: corners.select(F.col("image_id").alias(name), F.col("at").alias(f"at_{name}"))
+    lists = lists.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("m.n").alias("n"), F.col("m.o").alias("o"), "at_a", "at_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [agrees(np.array([[x["n"], *np.frombuffer(x["p"], np.float32), x["o"], *np.frombuffer(x["q"], np.float32)] for x in m], np.float64)) for m in b.column(2).to_pylist()]
+            good = []
+            for n, o, p, q in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                p, q = (np.frombuffer(b"".join(c), np.float32).reshape(-1, 4) for c in (p, q))
+                good.append(agrees(np.c_[n, p[n], o, q[o]].astype(np.float64)))
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return lists.mapInArrow(run, "a long, b long")
@@ -171,7 +185,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     firsts = cut(rows.groupBy("digest").agg(F.min("image_id").alias("first")))
     single = rows.groupBy("digest").agg(F.min("image_id").alias("image_id"), F.first("image").alias("image")).where(F.col("image_id").isNotNull())
     found = cut(descriptors(single.select("image_id", "image")))
-    links = cut(agreeing(matches(found)))
+    links = cut(agreeing(matches(found), found))
     member = cut(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     corners = found.groupBy(F.col("image_id").alias("node")).agg(F.count("*").alias("n_corners"))

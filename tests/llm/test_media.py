@@ -56,6 +56,28 @@ def test_crowd_of_one_picture_is_one_group(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_links_among_common_corners(spark):
+    """Crops of one picture all meet, and so do two copies whose corners 49 unlike pictures have, too."""
+    a = picture(3)
+    rows = [(i, media.encode(a[i % 7 : 100 + i % 11, i % 8 : 120 + i % 13])) for i in range(60)]
+    rng = np.random.default_rng(6)
+    letter = np.kron(rng.integers(0, 2, (4, 4)), np.ones((6, 6))) * 255
+
+    def page(at, shade):
+        p = np.full((200, 200), 128.0)
+        for y, x in at:
+            p[y : y + 24, x : x + 24] = letter
+        return np.clip(p + shade, 0, 255)
+
+    places = [np.stack([np.arange(6) // 3 * 90 + 15 + rng.integers(0, 50, 6), np.arange(6) % 3 * 60 + 15 + rng.integers(0, 20, 6)], axis=1) for _ in range(50)]
+    rows += [(100 + i, media.encode(page(p, 0))) for i, p in enumerate(places)]
+    rows.append((200, media.encode(page(places[30] - 3, 0))))
+    got = {r.image_id: r for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    different = len({r[1] for r in rows[:60]})
+    assert [got[i].n_links for i in range(60)] == [different - 1] * 60
+    assert got[200].component_id == got[130].component_id
+
+
 def test_drawn_table(spark):
     d = "/root/testdata/sf0.001"
     assert media.query(spark, d).count() == table(spark, d, "embeddings").count()
