@@ -14,8 +14,8 @@ from .components import components
 from .simhash import group_starts, whole_groups
 
 SCALES = (1.0, 0.7071, 0.5)
-#: Radius of a descriptor's patch; the strongest corners of an image that are described; bits and tables; corners of a block of a large bucket; matches in agreement that make a copy.
-RADIUS, CORNERS, BITS, TABLES, BUCKET, AGREE = 7, 96, 128, 4, 256, 5
+#: Radius of a descriptor's patch; corners that are described at a time; bits and tables; corners of a block of a large bucket; matches in agreement that make a copy.
+RADIUS, CHUNK, BITS, TABLES, BUCKET, AGREE = 7, 4096, 128, 4, 256, 5
 _RNG = np.random.default_rng(41)
 TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -54,7 +54,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def describe(pixels: np.ndarray) -> list[tuple[float, float, float, float, bytes]]:
-    """Corners as (x, y, scale, angle, bits): x and y in the image's own pixels."""
+    """All corners, however weak beside others, as (x, y, scale, angle, bits): x and y in the image's own pixels."""
     found = []
     for s in SCALES:
         h, w = int(pixels.shape[0] * s), int(pixels.shape[1] * s)
@@ -66,26 +66,28 @@ def describe(pixels: np.ndarray) -> list[tuple[float, float, float, float, bytes
         strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = strength[1:-1, 1:-1]
         top = np.max([strength[i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3)], axis=0)
-        good = (inner == top) & (inner > max(1e-3, 0.002 * strength.max()))
+        good = (inner == top) & (inner > 1e-3)
         y, x = np.nonzero(good)
         y, x = y + 1, x + 1
         inside = (y >= RADIUS) & (y < h - RADIUS) & (x >= RADIUS) & (x < w - RADIUS)
         y, x = y[inside], x[inside]
         if not len(y):
             continue
-        patch = a[y[:, None, None] + _Y, x[:, None, None] + _X] * DISC
-        angle = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        smooth = _box(a, 1)
-
-        def at(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-            px, py = np.rint(x[:, None] + cos * dx - sin * dy).astype(int), np.rint(y[:, None] + sin * dx + cos * dy).astype(int)
-            return smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
-
-        bits = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1)
-        found += [(float(v), (i + 0.5) / s, (j + 0.5) / s, s, float(t), b.tobytes()) for v, i, j, t, b in zip(strength[y, x], x, y, angle, bits, strict=True)]
+        smooth, corners_y, corners_x = _box(a, 1), y, x
+        for begin in range(0, len(corners_y), CHUNK):
+            y, x = corners_y[begin : begin + CHUNK], corners_x[begin : begin + CHUNK]
+            patch = a[y[:, None, None] + _Y, x[:, None, None] + _X] * DISC
+            angle = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+
+            def at(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+                px, py = np.rint(x[:, None] + cos * dx - sin * dy).astype(int), np.rint(y[:, None] + sin * dx + cos * dy).astype(int)
+                return smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
+
+            bits = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1)
+            found += [(float(v), (i + 0.5) / s, (j + 0.5) / s, s, float(t), b.tobytes()) for v, i, j, t, b in zip(strength[y, x], x, y, angle, bits, strict=True)]
     found.sort(key=lambda f: (-f[0], f[1:5]))
-    return [f[1:] for f in found[:CORNERS]]
+    return [f[1:] for f in found]
 
 
 def descriptors(images: DataFrame) -> DataFrame:

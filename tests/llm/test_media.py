@@ -78,6 +78,14 @@ def test_links_among_common_corners(spark):
     assert got[200].component_id == got[130].component_id
 
 
+def test_dull_crop_of_a_large_picture(spark):
+    a = picture(5, 420, 420)
+    a[250:370, 260:380] = 120 + picture(6, 120, 120) / 12
+    rows = [(0, media.encode(a)), (1, media.encode(a[255:365, 265:375])), (2, media.encode(picture(9)))]
+    got = {r.image_id: r for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert [got[i].component_id for i in range(3)] == [0, 0, 2]
+
+
 def test_drawn_table(spark):
     d = "/root/testdata/sf0.001"
     assert media.query(spark, d).count() == table(spark, d, "embeddings").count()
