@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -14,12 +15,23 @@ from .components import components
 from .simhash import group_starts, whole_groups
 
 SCALES = (1.0, 0.7071, 0.5)
-#: Radius of a descriptor's patch; corners that are described at a time; bits and tables; corners of a block of a large bucket; matches in agreement that make a copy.
-RADIUS, CHUNK, BITS, TABLES, BUCKET, AGREE = 7, 4096, 128, 4, 256, 5
+#: Radius of a descriptor's patch; corners that are described at a time; pixels of pictures that are described together.
+RADIUS, CHUNK, PIXELS = 7, 4096, 1 << 20
+#: Bits of a descriptor; 32-bit parts, a table for each; bits in which a match may differ; matches in agreement that make a copy.
+BITS, TABLES, DISTANCE, AGREE = 128, 4, 16, 5
+#: Corners of a bucket that are all paired at once, and of the largest copy group of a crowded one; pictures that hot parts are looked for in, and the share of them that makes a part hot.
+BUCKET, GROUP, LOOKED, HOT = 256, 4096, 4096, 0.01
+#: Rows that a task gathers before it looks at whole buckets.
+GATHERED = 1 << 15
 _RNG = np.random.default_rng(41)
 TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
+#: A described corner, and what of it goes with one of its parts: the other parts and the place.
+CORNER = np.dtype([("bits", "<u4", TABLES), ("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
+ENTRY = np.dtype([("rest", "<u4", TABLES - 1), ("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
+PLACE = np.dtype([(n, ENTRY[n]) for n in ENTRY.names[1:]])
+ROW = np.dtype([("g", "<i8"), ("image", "<i8"), ("entry", ENTRY)])
 HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -48,103 +60,289 @@ def resized(a: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    c = np.pad(a, ((r + 1, r), (r + 1, r)), "edge").astype(np.float64).cumsum(0).cumsum(1)
+    """Means of squares of side 2 r + 1, of each picture of a stack."""
+    c = np.pad(a, ((0, 0), (r + 1, r), (r + 1, r)), "edge").astype(np.float64).cumsum(1).cumsum(2)
     k = 2 * r + 1
-    return (c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]) / (k * k)
-
-
-def describe(pixels: np.ndarray) -> list[tuple[float, float, float, float, bytes]]:
-    """All corners, however weak beside others, as (x, y, scale, angle, bits): x and y in the image's own pixels."""
-    found = []
-    for s in SCALES:
-        h, w = int(pixels.shape[0] * s), int(pixels.shape[1] * s)
+    return (c[:, k:, k:] - c[:, :-k, k:] - c[:, k:, :-k] + c[:, :-k, :-k]) / (k * k)
+
+
+def corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All corners of a stack of pictures, however weak beside others, that have a whole patch: picture, row, column."""
+    h, w = a.shape[1:]
+    gy, gx = np.gradient(a, axis=(1, 2))
+    xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    inner = strength[:, RADIUS : h - RADIUS, RADIUS : w - RADIUS]
+    good = inner > 1e-3
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            good &= inner >= strength[:, RADIUS + i : h - RADIUS + i, RADIUS + j : w - RADIUS + j]
+    p, y, x = np.nonzero(good)
+    return p, y + RADIUS, x + RADIUS
+
+
+def describe(stack: np.ndarray) -> list[np.ndarray]:
+    """Pictures of one size -> the CORNER rows of each; x and y in its own pixels, scale an index of SCALES, turn in 256ths."""
+    found, of = [], []
+    for k, s in enumerate(SCALES):
+        h, w = int(stack.shape[1] * s), int(stack.shape[2] * s)
         if min(h, w) < 2 * RADIUS + 3:
             continue
-        a = pixels if s == 1 else resized(pixels, h, w)
-        gy, gx = np.gradient(a)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = strength[1:-1, 1:-1]
-        top = np.max([strength[i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3)], axis=0)
-        good = (inner == top) & (inner > 1e-3)
-        y, x = np.nonzero(good)
-        y, x = y + 1, x + 1
-        inside = (y >= RADIUS) & (y < h - RADIUS) & (x >= RADIUS) & (x < w - RADIUS)
-        y, x = y[inside], x[inside]
-        if not len(y):
-            continue
-        smooth, corners_y, corners_x = _box(a, 1), y, x
-        for begin in range(0, len(corners_y), CHUNK):
-            y, x = corners_y[begin : begin + CHUNK], corners_x[begin : begin + CHUNK]
-            patch = a[y[:, None, None] + _Y, x[:, None, None] + _X] * DISC
+        a = stack if s == 1 else np.stack([resized(p, h, w) for p in stack])
+        pictures, rows, columns = corners(a)
+        smooth = _box(a, 1)
+        for begin in range(0, len(rows), CHUNK):
+            p, y, x = (c[begin : begin + CHUNK, None] for c in (pictures, rows, columns))
+            patch = a[p[:, :, None], y[:, :, None] + _Y, x[:, :, None] + _X] * DISC
             angle = np.arctan2((patch * _Y).sum((1, 2)), (patch * _X).sum((1, 2)))
             cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
 
             def at(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-                px, py = np.rint(x[:, None] + cos * dx - sin * dy).astype(int), np.rint(y[:, None] + sin * dx + cos * dy).astype(int)
-                return smooth[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
-
-            bits = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1)
-            found += [(float(v), (i + 0.5) / s, (j + 0.5) / s, s, float(t), b.tobytes()) for v, i, j, t, b in zip(strength[y, x], x, y, angle, bits, strict=True)]
-    found.sort(key=lambda f: (-f[0], f[1:5]))
-    return [f[1:] for f in found]
+                px, py = np.rint(x + cos * dx - sin * dy).astype(int), np.rint(y + sin * dx + cos * dy).astype(int)
+                return smooth[p, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
+
+            out = np.zeros(len(p), CORNER)
+            out["bits"] = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1).view("<u4")
+            out["x"], out["y"], out["scale"] = (x[:, 0] + 0.5) / s, (y[:, 0] + 0.5) / s, k
+            out["turn"] = np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
+            found.append(out)
+            of.append(p[:, 0])
+    if not found:
+        return [np.zeros(0, CORNER)] * len(stack)
+    rows, of = np.concatenate(found), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return np.split(rows[order], np.cumsum(np.bincount(of, minlength=len(stack)))[:-1])
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """images (image_id, image) -> (image_id, n, at, k01, k23): a row for each described corner. at: x, y, scale and angle as four floats; the others hold two of the four 32-bit parts of its bits each."""
+    """images (image_id, image) -> (image_id, digest, n, corners), a row for each row: the digest of its bytes (empty for null) and its n CORNER rows as bytes. Pictures of one size in a batch are described together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pixels = decode(data)
-                if pixels is not None:
-                    rows += [(i, n, np.array(f[:4], np.float32).tobytes(), *np.frombuffer(f[4], ">i8").tolist()) for n, f in enumerate(describe(pixels))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["image_id", "n", "at", "k01", "k23"])
+            data = b.column(1).to_pylist()
+            found: list[np.ndarray] = [np.zeros(0, CORNER)] * len(data)
+            sizes: dict[tuple[int, int], list[int]] = {}
+            pixels = [decode(d) for d in data]
+            for i, p in enumerate(pixels):
+                if p is not None:
+                    sizes.setdefault(p.shape, []).append(i)
+            for (h, w), own in sizes.items():
+                step = max(1, PIXELS // (h * w))
+                for lo in range(0, len(own), step):
+                    some = own[lo : lo + step]
+                    for i, f in zip(some, describe(np.stack([pixels[i] for i in some])), strict=True):
+                        found[i] = f
+            digests = [b"" if d is None else hashlib.sha256(d).digest() for d in data]
+            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(map(len, found), pa.int32()), pa.array([f.tobytes() for f in found], pa.binary())], names=["image_id", "digest", "n", "corners"])
+
+    return images.mapInArrow(run, "image_id long, digest binary, n int, corners binary")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A structured array as a column of bytes, a value for each row."""
+    width = rows.dtype.itemsize
+    offsets = np.arange(len(rows) + 1, dtype=np.int64) * width
+    if len(rows) * width >= 1 << 31:
+        raise ValueError("too many corners in one batch")
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _rows(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The reverse of _binary."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def parts(found: DataFrame) -> DataFrame:
+    """Described images -> (g, image_id, entry): a row for each 32-bit part of each corner; g: table and part, entry: an ENTRY."""
 
-    return images.mapInArrow(run, "image_id long, n int, at binary, k01 long, k23 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            images, blobs = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for lo in range(0, len(blobs), 64):
+                own = blobs[lo : lo + 64]
+                rows = np.frombuffer(b"".join(own), CORNER)
+                image = np.repeat(images[lo : lo + 64], [len(x) // CORNER.itemsize for x in own])
+                for t in range(TABLES):
+                    entry = np.zeros(len(rows), ENTRY)
+                    entry["rest"] = rows["bits"][:, [i for i in range(TABLES) if i != t]]
+                    for name in PLACE.names:
+                        entry[name] = rows[name]
+                    g = (t << 32) + rows["bits"][:, t].astype(np.int64)
+                    yield pa.record_batch([pa.array(g), pa.array(image), _binary(entry)], names=["g", "image_id", "entry"])
+
+    return found.select("image_id", "corners").mapInArrow(run, "g long, image_id long, entry binary")
+
+
+def hot_parts(found: DataFrame) -> DataFrame:
+    """(g, image_id, entry) of the parts that a hundredth or more of about LOOKED images have, with one image's entry each.
+
+    They only say where work is done: results don't depend on them. Their number is bounded by what LOOKED images have.
+    """
+    n = found.count()
+    some = found.where(F.pmod(F.xxhash64(F.lit(5), "image_id"), F.lit(max(1, n // LOOKED))) == 0)
+    most = max(BUCKET // 4, int(HOT * min(n, LOOKED)))
+    counted = parts(some).groupBy("g").agg(F.count_distinct("image_id").alias("n"), F.min(F.struct("image_id", "entry")).alias("first"))
+    return cut(counted.where(F.col("n") >= most).select("g", "first.image_id", "first.entry"))
+
+
+def _matched(image: np.ndarray, entry: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Matches among rows x and y, which have a part in common, as (a, b, m): m holds the place in image a, the smaller, and that in b."""
+    near = np.bitwise_count(entry["rest"][x] ^ entry["rest"][y]).sum(axis=1) <= DISTANCE
+    good = (image[x] != image[y]) & near
+    x, y = x[good], y[good]
+    x, y = np.where(image[x] < image[y], x, y), np.where(image[x] < image[y], y, x)
+    both = np.zeros(len(x), [("a", PLACE), ("b", PLACE)])
+    for name in PLACE.names:
+        both["a"][name], both["b"][name] = entry[name][x], entry[name][y]
+    return pa.record_batch([pa.array(image[x]), pa.array(image[y]), _binary(both)], names=["a", "b", "m"])
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group, a distance at a time."""
+    x = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end, d = np.repeat(starts + sizes, sizes), 0
+    while True:
+        d += 1
+        more = x + d < end
+        x, end = x[more], end[more]
+        if not x.size:
+            return
+        yield x, x + d
+
+
+def _buckets(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Rows sorted by g -> whole buckets with None, or a part of a bucket of more than BUCKET rows with its first row. No large bucket is held."""
+    rest, first = np.zeros(0, ROW), None
+    for rows in batches:
+        rows = np.concatenate([rest, rows])
+        if first is not None:
+            n = int(np.searchsorted(rows["g"], first["g"][0], "right"))
+            if n:
+                yield rows[:n], first
+            rows = rows[n:]
+        rest = rows
+        if not len(rows):
+            continue
+        last = int(np.searchsorted(rows["g"], rows["g"][-1]))
+        if last:
+            yield rows[:last], None
+        rest, first = rows[last:], None
+        if len(rest) > BUCKET:
+            yield rest, rest[:1]
+            rest, first = rest[:0], rest[:1]
+    if len(rest):
+        yield rest, None
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Descriptors -> (a, b, n, o): corner n of image a and corner o of image b, a < b, have a 32-bit part in common; each match once.
+def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of parts() -> matches (a, b, m) and, with b null, the corners (a: image, m: entry, g) of crowded buckets.
 
-    Corners with a part in common share a bucket. A bucket of more than BUCKET corners is dealt into pairs of blocks, so it loses no match, but its matches grow with its square.
+    A bucket of up to BUCKET rows gives all its matches. In a larger one each corner is matched with the bucket's first and with the one before it, which links copies of a picture; then later_matches() sees to the rest. A hot part's corners aren't brought together: wherever they are, they are matched with the part's own one.
     """
-    parts = [x for k in ("k01", "k23") for x in (F.shiftrightunsigned(k, 32), F.col(k).bitwiseAND((1 << 32) - 1))]
-    light = found.select("image_id", "n", *[x.alias(f"k{i}") for i, x in enumerate(parts)], F.posexplode(F.array(*[F.xxhash64(F.lit(i), k) for i, k in enumerate(parts)])).alias("part", "key"))
-    shared = light.groupBy("key").agg(F.count("*").alias("size"), F.min("image_id").alias("x"), F.max("image_id").alias("y")).where("x < y").select("key", F.ceil(F.col("size") / BUCKET).alias("blocks"))
-    block = F.pmod(F.xxhash64("image_id", "n"), F.col("blocks"))
-    dealt = light.join(shared, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["image_id", "n", "part", "block", "other", *[f"k{i}" for i in range(TABLES)]]
-    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("g"), *columns)
+
+    def match(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        b = _matched(rows["image"], rows["entry"], x, y)
+        return pa.record_batch([*b.columns, pa.nulls(b.num_rows, pa.int64())], names=["a", "b", "m", "g"])
+
+    def crowd(rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.record_batch([pa.array(rows["image"]), none, _binary(rows["entry"]), pa.array(rows["g"])], names=["a", "b", "m", "g"])
+
+    def large(rows: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(rows)
+        yield match(rows, np.arange(1, n), np.arange(n - 1))
+        yield match(np.concatenate([rows, first]), np.arange(n), np.full(n, n))
+        yield crowd(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hots: list[pa.RecordBatch] = []
+
+        def cold() -> Iterator[np.ndarray]:
+            held, n = [], 0
+            for b in batches:
+                rows = np.zeros(b.num_rows, ROW)
+                rows["g"], rows["image"], rows["entry"] = b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), ENTRY)
+                warm = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+                if warm.any():
+                    own, other = rows[warm], np.zeros(int(warm.sum()), ROW)
+                    other["image"] = b.column(3).filter(pa.array(warm)).to_numpy()
+                    other["entry"] = np.frombuffer(b"".join(b.column(4).filter(pa.array(warm)).to_pylist()), ENTRY)
+                    hots.extend([match(np.concatenate([own, other]), np.arange(len(own)), np.arange(len(own)) + len(own)), crowd(own)])
+                    rows = rows[~warm]
+                held.append(rows)
+                n += len(rows)
+                if n >= GATHERED or hots:
+                    yield np.concatenate(held)
+                    held, n = [], 0
+            if held:
+                yield np.concatenate(held)
+
+        for rows, first in _buckets(cold()):
+            yield from hots
+            hots.clear()
+            if first is not None:
+                yield from large(rows, first)
+                continue
+            starts = group_starts(pa.array(rows["g"]))
+            sizes = np.diff(np.r_[starts, len(rows)])
+            small = (sizes > 1) & (sizes <= BUCKET)
+            for x, y in _pairs(starts[small], sizes[small]):
+                yield match(rows, x, y)
+            for s, n in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
+                yield from large(rows[s : s + n], rows[s : s + 1])
+        yield from hots
+
+    marked = entries.join(F.broadcast(hot.select("g", F.col("image_id").alias("own"), F.col("entry").alias("other"))), "g", "left").select("g", "image_id", "entry", "own", "other")
+    where = F.when(F.col("own").isNull(), F.col("g")).otherwise(F.xxhash64("g", "image_id"))
+    return marked.repartition(where).sortWithinPartitions("g", "image_id").mapInArrow(run, "a long, b long, m binary, g long")
+
+
+def later_matches(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """Corners of crowded buckets (a, m, g) and the links so far -> the matches (a, b, m) among them whose images aren't in one group yet.
+
+    A bucket whose images are all in one group has none. In another, the corners of its largest group meet all others, and these meet each other, in blocks of bounded size; so the work grows with the others, and only a crowd of unlike images is squared.
+    """
+    member = components(links)
+    rows = crowded.join(member, crowded["a"] == member["node"], "left").select("g", "a", "m", F.coalesce("component", "a").alias("c"))
+    sizes = rows.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g")
+    sizes = sizes.agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("n > most")
+    rows = rows.join(sizes.select("g", "main", F.ceil(F.col("most") / GROUP).alias("mains"), F.ceil((F.col("n") - F.col("most")) / BUCKET).alias("others")), "g")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block = lambda n: F.pmod(F.xxhash64("a", "m"), F.col(n))
+    place = lambda key, side: F.struct(key.alias("g"), side.alias("side"))
+    b = block("others")
+    with_main = F.when(F.col("c") == F.col("main"), F.transform(upto("others"), lambda j: place(F.xxhash64("g", F.lit(0), block("mains"), j), F.lit(-1).cast("long"))))
+    with_main = with_main.otherwise(F.transform(upto("mains"), lambda i: place(F.xxhash64("g", F.lit(0), i, b), F.lit(-2).cast("long"))))
+    # among the others: side is own block, doubled, plus 1 where it meets itself
+    among = F.when(F.col("c") != F.col("main"), F.transform(upto("others"), lambda j: place(F.xxhash64("g", F.lit(1), F.least(b, j), F.greatest(b, j)), 2 * b + (b == j).cast("long"))))
+    dealt = rows.select(F.explode(F.concat(with_main, F.coalesce(among, F.array().cast("array<struct<g:bigint,side:bigint>>")))).alias("p"), "a", "c", "m").select("p.g", "a", "c", "p.side", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            image, n, part, block, other, *k = (c.to_numpy() for c in b.columns[1:])
+            if not b.num_rows:
+                continue
+            image, c, side, entry = *(b.column(i).to_numpy() for i in (1, 2, 3)), np.frombuffer(b"".join(b.column(4).to_pylist()), ENTRY)
             starts = group_starts(b.column(0))
-            end = np.repeat(np.r_[starts[1:], b.num_rows], np.diff(np.r_[starts, b.num_rows]))
-            x, d, found = np.arange(b.num_rows), 0, []
-            while True:
-                d += 1
-                x = x[x + d < end[x]]
-                if not x.size:
-                    break
-                y = x + d
-                good = (image[x] != image[y]) & ((block[x] != block[y]) | (block[x] == other[x]))
-                for i in range(TABLES - 1):  # a match is told by the first part in common
-                    good &= (part[x] <= i) | (k[i][x] != k[i][y])
-                found.append(np.stack([x[good], y[good]]))
-            x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            x, y = np.where(image[x] < image[y], x, y), np.where(image[x] < image[y], y, x)
-            yield pa.record_batch([pa.array(image[x]), pa.array(image[y]), pa.array(n[x]), pa.array(n[y])], names=["a", "b", "n", "o"])
-
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, n int, o int")
+            sizes = np.diff(np.r_[starts, b.num_rows])
+            mixed = side[starts] < 0
+            for s, n in zip(starts[mixed].tolist(), sizes[mixed].tolist(), strict=True):
+                own = np.arange(s, s + n)
+                main = own[side[s : s + n] == -1]
+                for other in own[side[s : s + n] == -2].tolist():
+                    yield _matched(image, entry, main, np.full(len(main), other))
+            for x, y in _pairs(starts[~mixed], sizes[~mixed]):
+                good = (c[x] != c[y]) & ((side[x] >> 1 != side[y] >> 1) | (side[x] & 1 == 1))
+                yield _matched(image, entry, x[good], y[good])
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, m binary")
 
 
 def agrees(m: np.ndarray) -> bool:
-    """m: a match in each row: n, x, y, scale, angle of either corner. Whether AGREE corners of both sides or more have one turn, one scale and one shift, within a bin's width. Bins overlap by half, so a border parts none."""
-    n, ax, ay, az, aw, o, bx, by, bz, bw = m.T
+    """m: a match in each row: x, y, scale, angle of either corner. Whether AGREE corners of both sides or more have one turn, one scale and one shift, within a bin's width. Bins overlap by half, so a border parts none."""
+    ax, ay, az, aw, bx, by, bz, bw = m.T
+    n, o = (np.unique(m[:, i : i + 4], axis=0, return_inverse=True)[1].ravel() for i in (0, 4))
+    if min(n.max(), o.max()) + 1 < AGREE:
+        return False
     turn, ratio = (bw - aw) % (2 * np.pi), az / bz
     x = bx - ratio * (np.cos(turn) * ax - np.sin(turn) * ay)
     y = by - ratio * (np.sin(turn) * ax + np.cos(turn) * ay)
@@ -159,42 +357,50 @@ def agrees(m: np.ndarray) -> bool:
     return False
 
 
-def agreeing(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Matches and the descriptors they are of -> links (a, b): images whose matches agree."""
-    lists = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("n", "o")).alias("m")).where((F.size(F.array_distinct("m.n")) >= AGREE) & (F.size(F.array_distinct("m.o")) >= AGREE))
-    corners = found.groupBy("image_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "at"))), lambda c: c["at"]).alias("at"))
-    side = lambda name: corners.select(F.col("image_id").alias(name), F.col("at").alias(f"at_{name}"))
-    lists = lists.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("m.n").alias("n"), F.col("m.o").alias("o"), "at_a", "at_b")
+def places(data: list[bytes]) -> np.ndarray:
+    """Matches' bytes as x, y, scale, angle of either corner."""
+    both = np.frombuffer(b"".join(data), [("a", PLACE), ("b", PLACE)])
+    scales = np.array(SCALES)
+    columns = [[c["x"], c["y"], scales[c["scale"]], c["turn"] * (2 * np.pi / 256)] for c in (both["a"], both["b"])]
+    return np.stack([x.astype(np.float64) for side in columns for x in side], axis=1)
+
+
+def agreeing(matches: DataFrame) -> DataFrame:
+    """Matches (a, b, m) -> links (a, b): images whose matches agree."""
+    lists = matches.groupBy("a", "b").agg(F.collect_set("m").alias("m")).where(F.size("m") >= AGREE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for n, o, p, q in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                p, q = (np.frombuffer(b"".join(c), np.float32).reshape(-1, 4) for c in (p, q))
-                good.append(agrees(np.c_[n, p[n], o, q[o]].astype(np.float64)))
+            good = [agrees(places(m)) for m in b.column(2).to_pylist()]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return lists.mapInArrow(run, "a long, b long")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """images (image_id, image: binary PGM) -> image_id, component_id, n_links, n_corners, a row for each row.
+    """images (image_id, image: binary PGM) -> image_id, component_id, n_corners, a row for each row.
 
-    component_id is the smallest id reachable by links; n_links counts the links of the image's bytes to other bytes. Equal bytes are one image, of the smallest id (null and undecodable ones have no links, but equal ones go together). Null ids take no part but keep a row, with null component. An empty table gives no rows; other columns aren't read.
+    Two images are linked where AGREE corners match (a 32-bit part of the descriptors in common, DISTANCE bits or fewer apart) under one turn, scale and shift; component_id is the smallest id reachable by links. Equal bytes are one image, of the smallest id (null and undecodable ones have no links, but equal ones go together). Null ids take no part but keep a row, with null component. Of rows with one id and different bytes, those with the smallest digest are described; the others have no links. An empty table gives no rows; other columns aren't read. An image must fit a worker, with some 100 bytes for each pixel.
     """
     ready(images.sparkSession)
-    rows = images.select(F.col("image_id").cast("long").alias("image_id"), "image").withColumn("digest", F.coalesce(F.sha2("image", 256), F.lit("")))
+    rows = cut(descriptors(images.select(F.col("image_id").cast("long").alias("image_id"), "image")))
     firsts = cut(rows.groupBy("digest").agg(F.min("image_id").alias("first")))
-    single = rows.groupBy("digest").agg(F.min("image_id").alias("image_id"), F.first("image").alias("image")).where(F.col("image_id").isNotNull())
-    found = cut(descriptors(single.select("image_id", "image")))
-    links = cut(agreeing(matches(found), found))
-    member = cut(components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    corners = found.groupBy(F.col("image_id").alias("node")).agg(F.count("*").alias("n_corners"))
-    known = firsts.withColumnRenamed("first", "node").join(member, "node", "left").join(degree, "node", "left").join(corners, "node", "left")
-    known = cut(known.select("digest", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners")))
+    described = firsts.where("first is not null").groupBy(F.col("first").alias("image_id")).agg(F.min("digest").alias("digest"))
+    found = rows.join(described, ["image_id", "digest"], "left_semi").select("image_id", "n", "corners")
+    if rows.groupBy("image_id", "digest").count().where("count > 1 and image_id is not null").limit(1).count():
+        found = found.dropDuplicates(["image_id"])
+    found = cut(found)
+    told = cut(first_matches(parts(found), hot_parts(found)))
+    matches, crowded = told.where("b is not null").select("a", "b", "m"), told.where("b is null").select("a", "m", "g")
+    links = cut(agreeing(matches))
+    if crowded.limit(1).count():
+        links = cut(agreeing(matches.unionByName(later_matches(crowded, links))))
+    member = components(links)
+    corners = found.select(F.col("image_id").alias("node"), F.col("n").cast("long").alias("n_corners"))
+    known = firsts.withColumnRenamed("first", "node").join(member, "node", "left").join(corners, "node", "left")
+    known = cut(known.select("digest", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_corners", F.lit(0).cast("long")).alias("n_corners")))
     out = rows.select("image_id", "digest").join(known, "digest")
-    return out.select("image_id", F.when(F.col("image_id").isNotNull(), F.col("component_id")).alias("component_id"), "n_links", "n_corners")
+    return out.select("image_id", F.when(F.col("image_id").isNotNull(), F.col("component_id")).alias("component_id"), "n_corners")
 
 
 SIDE = 56
