@@ -17,8 +17,8 @@ from .simhash import group_starts, whole_groups
 SCALES = (1.0, 0.7071, 0.5)
 #: Radius of a descriptor's patch; corners that are described at a time; pixels of pictures that are described together.
 RADIUS, CHUNK, PIXELS = 7, 4096, 1 << 20
-#: Bits of a descriptor; 32-bit parts, a table for each; bits in which a match may differ; matches in agreement that make a copy.
-BITS, TABLES, DISTANCE, AGREE = 128, 4, 16, 5
+#: Bits of a descriptor; 64-bit parts, a table for each; matches in agreement that make a copy.
+BITS, TABLES, AGREE = 256, 4, 5
 #: Corners of a bucket that are all paired at once, and of the largest copy group of a crowded one; pictures that hot parts are looked for in, and the share of them that makes a part hot.
 BUCKET, GROUP, LOOKED, HOT = 256, 4096, 4096, 0.01
 #: Rows that a task gathers before it looks at whole buckets.
@@ -27,11 +27,12 @@ _RNG = np.random.default_rng(41)
 TESTS = np.clip(np.round(_RNG.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 DISC = (_X**2 + _Y**2 <= RADIUS**2).astype(np.float32)
-#: A described corner, and what of it goes with one of its parts: the other parts and the place.
-CORNER = np.dtype([("bits", "<u4", TABLES), ("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
-ENTRY = np.dtype([("rest", "<u4", TABLES - 1), ("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
-PLACE = np.dtype([(n, ENTRY[n]) for n in ENTRY.names[1:]])
-ROW = np.dtype([("g", "<i8"), ("image", "<i8"), ("entry", ENTRY)])
+#: Where a corner is; with its descriptor; and as a row of a table.
+PLACE = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "u1"), ("turn", "u1")])
+CORNER = np.dtype([("bits", "<u8", TABLES), ("place", PLACE)])
+ROW = np.dtype([("g", "<i8"), ("image", "<i8"), ("place", PLACE)])
+#: Spreads a part and its table over 64 bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -102,9 +103,10 @@ def describe(stack: np.ndarray) -> list[np.ndarray]:
                 return smooth[p, np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
 
             out = np.zeros(len(p), CORNER)
-            out["bits"] = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1).view("<u4")
-            out["x"], out["y"], out["scale"] = (x[:, 0] + 0.5) / s, (y[:, 0] + 0.5) / s, k
-            out["turn"] = np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
+            out["bits"] = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1).view("<u8")
+            place = out["place"]
+            place["x"], place["y"], place["scale"] = (x[:, 0] + 0.5) / s, (y[:, 0] + 0.5) / s, k
+            place["turn"] = np.rint(angle / (2 * np.pi) * 256).astype(int) % 256
             found.append(out)
             of.append(p[:, 0])
     if not found:
@@ -153,7 +155,7 @@ def _rows(column: pa.Array, kind: np.dtype) -> np.ndarray:
 
 
 def parts(found: DataFrame) -> DataFrame:
-    """Described images -> (g, image_id, entry): a row for each 32-bit part of each corner; g: table and part, entry: an ENTRY."""
+    """Described images -> (g, image_id, place): a row for each 64-bit part of each corner; g: a hash of table and part, place: a PLACE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,39 +163,36 @@ def parts(found: DataFrame) -> DataFrame:
             for lo in range(0, len(blobs), 64):
                 own = blobs[lo : lo + 64]
                 rows = np.frombuffer(b"".join(own), CORNER)
-                image = np.repeat(images[lo : lo + 64], [len(x) // CORNER.itemsize for x in own])
+                image = pa.array(np.repeat(images[lo : lo + 64], [len(x) // CORNER.itemsize for x in own]))
+                place = _binary(rows["place"])
                 for t in range(TABLES):
-                    entry = np.zeros(len(rows), ENTRY)
-                    entry["rest"] = rows["bits"][:, [i for i in range(TABLES) if i != t]]
-                    for name in PLACE.names:
-                        entry[name] = rows[name]
-                    g = (t << 32) + rows["bits"][:, t].astype(np.int64)
-                    yield pa.record_batch([pa.array(g), pa.array(image), _binary(entry)], names=["g", "image_id", "entry"])
+                    g = (rows["bits"][:, t] ^ np.uint64(t)) * MIX
+                    g ^= g >> np.uint64(32)
+                    g = g * MIX + np.uint64(t)
+                    yield pa.record_batch([pa.array(g.view(np.int64)), image, place], names=["g", "image_id", "place"])
 
-    return found.select("image_id", "corners").mapInArrow(run, "g long, image_id long, entry binary")
+    return found.select("image_id", "corners").mapInArrow(run, "g long, image_id long, place binary")
 
 
 def hot_parts(found: DataFrame) -> DataFrame:
-    """(g, image_id, entry) of the parts that a hundredth or more of about LOOKED images have, with one image's entry each.
+    """(g, image_id, place) of the parts that a hundredth or more of about LOOKED images have, with one image's place each.
 
     They only say where work is done: results don't depend on them. Their number is bounded by what LOOKED images have.
     """
     n = found.count()
     some = found.where(F.pmod(F.xxhash64(F.lit(5), "image_id"), F.lit(max(1, n // LOOKED))) == 0)
     most = max(BUCKET // 4, int(HOT * min(n, LOOKED)))
-    counted = parts(some).groupBy("g").agg(F.count_distinct("image_id").alias("n"), F.min(F.struct("image_id", "entry")).alias("first"))
-    return cut(counted.where(F.col("n") >= most).select("g", "first.image_id", "first.entry"))
+    counted = parts(some).groupBy("g").agg(F.count_distinct("image_id").alias("n"), F.min(F.struct("image_id", "place")).alias("first"))
+    return cut(counted.where(F.col("n") >= most).select("g", "first.image_id", "first.place"))
 
 
-def _matched(image: np.ndarray, entry: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    """Matches among rows x and y, which have a part in common, as (a, b, m): m holds the place in image a, the smaller, and that in b."""
-    near = np.bitwise_count(entry["rest"][x] ^ entry["rest"][y]).sum(axis=1) <= DISTANCE
-    good = (image[x] != image[y]) & near
+def _matched(image: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Rows x and y, which have a part in common, as matches (a, b, m) where they are of two images: m holds the place in image a, the smaller, and that in b."""
+    good = image[x] != image[y]
     x, y = x[good], y[good]
     x, y = np.where(image[x] < image[y], x, y), np.where(image[x] < image[y], y, x)
     both = np.zeros(len(x), [("a", PLACE), ("b", PLACE)])
-    for name in PLACE.names:
-        both["a"][name], both["b"][name] = entry[name][x], entry[name][y]
+    both["a"], both["b"] = place[x], place[y]
     return pa.record_batch([pa.array(image[x]), pa.array(image[y]), _binary(both)], names=["a", "b", "m"])
 
 
@@ -235,18 +234,18 @@ def _buckets(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows of parts() -> matches (a, b, m) and, with b null, the corners (a: image, m: entry, g) of crowded buckets.
+    """Rows of parts() -> matches (a, b, m) and, with b null, the corners (a: image, m: place, g) of crowded buckets.
 
     A bucket of up to BUCKET rows gives all its matches. In a larger one each corner is matched with the bucket's first and with the one before it, which links copies of a picture; then later_matches() sees to the rest. A hot part's corners aren't brought together: wherever they are, they are matched with the part's own one.
     """
 
     def match(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        b = _matched(rows["image"], rows["entry"], x, y)
+        b = _matched(rows["image"], rows["place"], x, y)
         return pa.record_batch([*b.columns, pa.nulls(b.num_rows, pa.int64())], names=["a", "b", "m", "g"])
 
     def crowd(rows: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(rows), pa.int64())
-        return pa.record_batch([pa.array(rows["image"]), none, _binary(rows["entry"]), pa.array(rows["g"])], names=["a", "b", "m", "g"])
+        return pa.record_batch([pa.array(rows["image"]), none, _binary(rows["place"]), pa.array(rows["g"])], names=["a", "b", "m", "g"])
 
     def large(rows: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = len(rows)
@@ -261,12 +260,12 @@ def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
             held, n = [], 0
             for b in batches:
                 rows = np.zeros(b.num_rows, ROW)
-                rows["g"], rows["image"], rows["entry"] = b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), ENTRY)
+                rows["g"], rows["image"], rows["place"] = b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), PLACE)
                 warm = b.column(3).is_valid().to_numpy(zero_copy_only=False)
                 if warm.any():
                     own, other = rows[warm], np.zeros(int(warm.sum()), ROW)
                     other["image"] = b.column(3).filter(pa.array(warm)).to_numpy()
-                    other["entry"] = np.frombuffer(b"".join(b.column(4).filter(pa.array(warm)).to_pylist()), ENTRY)
+                    other["place"] = np.frombuffer(b"".join(b.column(4).filter(pa.array(warm)).to_pylist()), PLACE)
                     hots.extend([match(np.concatenate([own, other]), np.arange(len(own)), np.arange(len(own)) + len(own)), crowd(own)])
                     rows = rows[~warm]
                 held.append(rows)
@@ -292,7 +291,7 @@ def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
                 yield from large(rows[s : s + n], rows[s : s + 1])
         yield from hots
 
-    marked = entries.join(F.broadcast(hot.select("g", F.col("image_id").alias("own"), F.col("entry").alias("other"))), "g", "left").select("g", "image_id", "entry", "own", "other")
+    marked = entries.join(F.broadcast(hot.select("g", F.col("image_id").alias("own"), F.col("place").alias("other"))), "g", "left").select("g", "image_id", "place", "own", "other")
     where = F.when(F.col("own").isNull(), F.col("g")).otherwise(F.xxhash64("g", "image_id"))
     return marked.repartition(where).sortWithinPartitions("g", "image_id").mapInArrow(run, "a long, b long, m binary, g long")
 
@@ -321,7 +320,8 @@ def later_matches(crowded: DataFrame, links: DataFrame) -> DataFrame:
         for b in whole_groups(batches):
             if not b.num_rows:
                 continue
-            image, c, side, entry = *(b.column(i).to_numpy() for i in (1, 2, 3)), np.frombuffer(b"".join(b.column(4).to_pylist()), ENTRY)
+            image, c, side = (b.column(i).to_numpy() for i in (1, 2, 3))
+            at = np.frombuffer(b"".join(b.column(4).to_pylist()), PLACE)
             starts = group_starts(b.column(0))
             sizes = np.diff(np.r_[starts, b.num_rows])
             mixed = side[starts] < 0
@@ -329,10 +329,10 @@ def later_matches(crowded: DataFrame, links: DataFrame) -> DataFrame:
                 own = np.arange(s, s + n)
                 main = own[side[s : s + n] == -1]
                 for other in own[side[s : s + n] == -2].tolist():
-                    yield _matched(image, entry, main, np.full(len(main), other))
+                    yield _matched(image, at, main, np.full(len(main), other))
             for x, y in _pairs(starts[~mixed], sizes[~mixed]):
                 good = (c[x] != c[y]) & ((side[x] >> 1 != side[y] >> 1) | (side[x] & 1 == 1))
-                yield _matched(image, entry, x[good], y[good])
+                yield _matched(image, at, x[good], y[good])
 
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, m binary")
 
@@ -380,7 +380,7 @@ def agreeing(matches: DataFrame) -> DataFrame:
 def image_copies(images: DataFrame) -> DataFrame:
     """images (image_id, image: binary PGM) -> image_id, component_id, n_corners, a row for each row.
 
-    Two images are linked where AGREE corners match (a 32-bit part of the descriptors in common, DISTANCE bits or fewer apart) under one turn, scale and shift; component_id is the smallest id reachable by links. Equal bytes are one image, of the smallest id (null and undecodable ones have no links, but equal ones go together). Null ids take no part but keep a row, with null component. Of rows with one id and different bytes, those with the smallest digest are described; the others have no links. An empty table gives no rows; other columns aren't read. An image must fit a worker, with some 100 bytes for each pixel.
+    Two images are linked where AGREE corners match (a 64-bit part of the descriptors in common) under one turn, scale and shift; component_id is the smallest id reachable by links. Equal bytes are one image, of the smallest id (null and undecodable ones have no links, but equal ones go together). Null ids take no part but keep a row, with null component. Of rows with one id and different bytes, those with the smallest digest are described; the others have no links. An empty table gives no rows; other columns aren't read. An image must fit a worker, with some 100 bytes for each pixel.
     """
     ready(images.sparkSession)
     rows = cut(descriptors(images.select(F.col("image_id").cast("long").alias("image_id"), "image")))
