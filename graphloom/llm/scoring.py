@@ -15,7 +15,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """(doc_id, text, y): rows of docs with a label of 0 or 1, about `most` at most; a document that is labelled twice counts as 1 if once it is."""
     own = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     own = bounded_sample(own, most)
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # bounded by `most`
 
 
 def scored(docs: DataFrame, score: Callable[[], Callable[[list], np.ndarray]], keep: list[Column]) -> DataFrame:
