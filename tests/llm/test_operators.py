@@ -118,12 +118,36 @@ def test_automaton_finds_longest_matches():
         assert a.phrases(word) == n
 
 
+def test_parser_parses_running_text(docs, monkeypatch):
+    monkeypatch.setattr(language, "LANE", 64)
+    rows = docs.limit(60).collect()
+    learned = {"b": language.plain(rows[0].text)[:700], "a": language.plain(rows[1].text)[:900] + "ß "}
+    texts = [language.plain(r.text) for r in rows] + ["", " zzz ", " été 中文 "]
+    got = language.Parser(learned).phrases(texts)
+    for t, found in zip(texts, got.tolist()):
+        want = []
+        for lang in ("a", "b"):
+            n = 0
+            for lo in range(0, len(t), 64):
+                lane, at = t[lo : lo + 64], 0
+                while at < len(lane):
+                    end = at + 1
+                    while end < len(lane) and lane[at : end + 1] in learned[lang]:
+                        end += 1
+                    at, n = end, n + 1
+            want.append(n)
+        assert found == want
+
+
 def test_language_odd_rows(odd):
     learned = language.fit(odd)
     got = {r.doc_id: r for r in language.predict(odd, learned, [F.col("doc_id")]).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5))
     assert got[7].lang_pred == "en" and language.predict(odd, {}, [F.col("doc_id")]).count() == odd.count()
     assert language.fit(odd.limit(0)) == {}
+    assert language.predict(odd.limit(0), learned, [F.col("doc_id")]).count() == 0
+    assert len({(r.lang_pred, r.score) for r in language.predict(odd, learned, [F.col("doc_id")]).where("doc_id in (1, 2)").collect()}) == 1
+    assert language.fit(odd, chars=20)["en"].strip() == language.plain(odd.where("doc_id = 1").first().text).strip()
 
 
 # --- personal data
