@@ -88,6 +88,8 @@ class Encoder:
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: Found as they stand before anything else is done; small letters must not bring one about.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary_ = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary_.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary_.items() if t.endswith("</w>")]] = True
@@ -131,7 +133,9 @@ class Encoder:
         words, counts = [], []
         for t in texts:
             if latin(t):  # the tokenizer takes small letters anyway
-                t = t.lower()
+                low = t.lower()
+                if not any(x in low for x in self.added):
+                    t = low
             own = t.replace("\n", " ").split(" ")
             counts.append(len(own))
             words += own

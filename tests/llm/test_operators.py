@@ -75,6 +75,12 @@ def test_packing_odd_rows(odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    texts = ["<|ENDOFTEXT|> a", "a <|StartOfText|>", "x<|endoftext|>y <|ENDOFTEXT|> <|endoftext|>", "<|startoftext|>", "<|", "A <|B|> c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed_well(packing.pack(rows).collect(), dict(enumerate(texts)))
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -147,7 +153,7 @@ def test_language_odd_rows(odd):
     assert language.fit(odd.limit(0)) == {}
     assert language.predict(odd.limit(0), learned, [F.col("doc_id")]).count() == 0
     assert len({(r.lang_pred, r.score) for r in language.predict(odd, learned, [F.col("doc_id")]).where("doc_id in (1, 2)").collect()}) == 1
-    assert language.fit(odd, chars=20)["en"].strip() == language.plain(odd.where("doc_id = 1").first().text).strip()
+    assert language.fit(odd, chars=5)["en"].strip() == "no id at all"
 
 
 # --- personal data
@@ -333,6 +339,11 @@ def test_mixture_odd_rows(odd):
     rows = mixture.mix(odd, max_repetition=2.0).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()}
     assert mixture.mix(odd.limit(0), target_entropy=1.0).count() == 0
+    clash = odd.select("*", *[F.lit(7).alias(c) for c in ("t", "n", "quota", "blocks", "before", "size", "__epoch", "__weight")])
+    again = mixture.mix(clash, max_repetition=2.0)
+    assert [c for c in again.columns if again.columns.count(c) > 1] == [] and {"t", "quota", "blocks", "before"} <= set(again.columns)
+    places = lambda found: sorted((r.doc_id or -1, r["__epoch"], r["__block"], r["__start"]) for r in found)
+    assert places(again.collect()) == places(rows)
     few = mixture.mix(odd.where("doc_id = 7"), budget=1000).collect()
     assert len(few) == 1
 
