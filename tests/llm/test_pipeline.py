@@ -91,7 +91,7 @@ def test_run_is_the_plain_version(spark):
     good = [i for i, s in zip(rows, score([r.text for r in rows.values()])) if s >= 0.5]
     single = sorted({top for top in brute_groups([(i, rows[i].text) for i in good]).values()})
     texts = {}
-    for i, (_, spans) in zip(single, pii.find([rows[i].text for i in single], pii.field())):
+    for i, (_, spans) in zip(single, pii.find([rows[i].text for i in single], pii.Tagger(pii.field()))):
         t = rows[i].text
         for kind, a, b in sorted(spans, key=lambda s: -s[1]):
             t = f"{t[:a]}<{kind.upper()}>{t[b:]}"
