@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from . import vectors
-from .colouring import ALPHA, EPSILON, colour, colour_pushed
+from .colouring import ALPHA, EPSILON, colour, colour_cached, colour_pushed
 from .graph import Graph, entities, predicate_ids, predicate_object_ids, reverse
 from .weigh import weigh
 
@@ -28,6 +28,12 @@ def frequencies(graph: Graph, wedges: DataFrame, alpha: float = ALPHA, epsilon:
     return records(colour(wedges, _seeds(graph, only_entities), alpha, epsilon, predicate_ids(graph) if edges else None), normalise)
 
 
+def frequencies_cached(graph: Graph, wedges: DataFrame, order: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, edges: bool = True, normalise: bool = True, only_entities: bool = False) -> DataFrame:
+    """The matrix from vectors that are handed on in a given order (pos, node_id) of all nodes; see colour_cached() for the size of graphs."""
+    v = colour_cached(wedges, order, alpha, epsilon, predicate_ids(graph) if edges else None)
+    return records(v.join(_seeds(graph, True), "seed", "left_semi") if only_entities else v, normalise)
+
+
 def frequencies_both_ways(graph: Graph, forward: int = 1, backward: int = 1, ranks: DataFrame | None = None, alpha: float = ALPHA, epsilon: float = EPSILON, normalise: bool = True, only_entities: bool = False) -> DataFrame:
     """The sum of the vectors along the edges (with predicates) and against them (without). Entities are those of the graph itself, either way."""
     back = Graph(graph.nodes, reverse(graph.edges))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -20,6 +20,16 @@ def normalise(v: DataFrame) -> DataFrame:
 
 def render(v: DataFrame, labels: DataFrame, digits: int = 6) -> DataFrame:
     """labels (key, label) -> seed, text: `{label = value, ...}` by key."""
-    entry = F.concat("label", F.lit(" = "), F.format_number(F.col("val"), digits))
-    rows = v.join(labels, "key").groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("key", entry.alias("entry")))).alias("entries"))
+    return _rendered(v.join(labels, "key"), ["key"], F.col("label"), digits)
+
+
+def render_pairs(v: DataFrame, nodes: DataFrame, digits: int = 6) -> DataFrame:
+    """v (seed, pred, dst, val), nodes (node_id, label) -> seed, text: `{(predicate,label) = value, ...}` by object and predicate."""
+    rows = v.join(nodes.select(F.col("node_id").alias("dst"), "label"), "dst")
+    return _rendered(rows, ["dst", "pred"], F.concat(F.lit("("), F.col("pred"), F.lit(","), F.col("label"), F.lit(")")), digits)
+
+
+def _rendered(v: DataFrame, by: list[str], name: Column, digits: int) -> DataFrame:
+    entry = F.concat(name, F.lit(" = "), F.format_string(f"%.{digits}f", F.col("val")))
+    rows = v.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct(*by, entry.alias("entry")))).alias("entries"))
     return rows.select("seed", F.concat(F.lit("{"), F.array_join(F.col("entries.entry"), ", "), F.lit("}")).alias("text"))

@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.chance import uniform
+from ..session import cut
 from .graph import Graph
 
 SEED, LENGTH, WALKS = 45645, 4, 250
+#: Edge ids of a block of running sums.
+SPAN = 1 << 16
 
 
 def intervals(wedges: DataFrame) -> DataFrame:
-    """wedges with lo and hi: each source's edges, by edge_id, share [0, 1); the last ends at 1 whatever rounding leaves."""
-    order = W.partitionBy("src").orderBy("edge_id")
-    hi = F.sum("weight").over(order.rowsBetween(W.unboundedPreceding, 0))
-    last = F.lead("edge_id").over(order).isNull()
-    return wedges.withColumn("hi", F.when(last, F.greatest(F.lit(1.0), hi)).otherwise(hi)).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
+    """wedges with lo and hi: each source's edges, by edge_id, share [0, 1); the last ends at 1 whatever rounding leaves.
+
+    Sums run within blocks of edge ids, and over a source's blocks, so that no task holds all edges of a source of many.
+    """
+    blocked = wedges.withColumn("block", F.floor(F.col("edge_id") / SPAN))
+    inside = W.partitionBy("src", "block").orderBy("edge_id")
+    upto = F.sum("weight").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    blocked = blocked.withColumn("upto", upto).withColumn("from", F.coalesce(F.lag("upto").over(inside), F.lit(0.0)))
+    blocks = blocked.groupBy("src", "block").agg(F.max_by("upto", "edge_id").alias("size"), F.max("edge_id").alias("last"))
+    over = W.partitionBy("src").orderBy("block")
+    before = F.coalesce(F.sum("size").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    blocks = blocks.select("src", "block", before.alias("before"), F.when(F.lead("block").over(over).isNull(), F.col("last")).alias("last"))
+    hi = F.col("before") + F.col("upto")
+    rows = blocked.join(blocks, ["src", "block"])
+    ends = F.when(F.col("edge_id") == F.col("last"), F.greatest(F.lit(1.0), hi)).otherwise(hi)
+    return rows.select(*wedges.columns, ends.alias("hi"), (F.col("before") + F.col("from")).alias("lo"))
 
 
 def guide(graph: Graph, wedges: DataFrame) -> DataFrame:
@@ -32,29 +46,76 @@ def guide(graph: Graph, wedges: DataFrame) -> DataFrame:
     return cells.join(ahead, "dst")
 
 
+class Walker:
+    """A weighted graph made ready to be walked."""
+
+    def __init__(self, graph: Graph, wedges: DataFrame):
+        self.graph, self.wedges = graph, wedges
+        self.cells = guide(graph, wedges).select(F.col("src").alias("at"), "slot", "lo", "hi", "dst", "pred", "dst_label", "dst_degree")
+        self.degree = wedges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "start")
+
+    def go(self, starts: DataFrame, length: int, seed: int) -> DataFrame:
+        """starts (start, walk_no, draw) -> start, walk_no, draw, path; draw tells walks' draws apart. A walk ends early at a node without edges."""
+        state = starts.join(self.graph.nodes.withColumnRenamed("node_id", "start"), "start").join(self.degree, "start", "left")
+        state = state.select("start", "walk_no", "draw", F.col("start").alias("at"), F.coalesce("degree", F.lit(0)).alias("degree"), F.array("label").alias("path"))
+        hit = F.expr("w.at = c.at and w.slot = c.slot and w.u >= c.lo and w.u < c.hi")
+        for step in range(length):
+            slot = F.least(F.floor(F.col("u") * F.col("degree")), F.col("degree") - 1)
+            drawn = state.withColumn("u", uniform(F.lit(seed), "start", "draw", F.lit(step))).withColumn("slot", F.when(F.col("degree") > 0, slot))
+            path = F.when(F.col("c.dst").isNotNull(), F.concat("w.path", F.array("c.pred", "c.dst_label"))).otherwise(F.col("w.path"))
+            state = drawn.alias("w").join(self.cells.alias("c"), hit, "left").select("w.start", "w.walk_no", "w.draw", F.coalesce("c.dst", "w.at").alias("at"), F.coalesce("c.dst_degree", F.lit(0)).alias("degree"), path.alias("path"))
+        return state.select("start", "walk_no", "draw", "path")
+
+
+def _numbered(starts: DataFrame, per_start: int) -> DataFrame:
+    return starts.select(F.col("node_id").alias("start")).distinct().withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))))
+
+
 def walks(graph: Graph, wedges: DataFrame, starts: DataFrame, per_start: int = WALKS, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """starts (node_id) -> start, walk_no, path: node, predicate, node ... labels, up to `length` steps; a walk ends early at a node without edges."""
-    cells = guide(graph, wedges).select(F.col("src").alias("at"), "slot", "lo", "hi", "dst", "pred", "dst_label", "dst_degree")
-    degree = wedges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
-    state = starts.select("node_id").distinct().join(graph.nodes, "node_id").join(degree, "node_id", "left")
-    state = state.select(F.col("node_id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).alias("walk_no"), F.col("node_id").alias("at"), F.coalesce("degree", F.lit(0)).alias("degree"), F.array("label").alias("path"))
-    for step in range(length):
-        u = uniform(F.lit(seed), "start", "walk_no", F.lit(step))
-        drawn = state.withColumn("u", u).withColumn("slot", F.when(F.col("degree") > 0, F.least(F.floor(F.col("u") * F.col("degree")), F.col("degree") - 1)))
-        w, c = drawn.alias("w"), cells.alias("c")
-        hit = F.expr("w.at = c.at and w.slot = c.slot and w.u >= c.lo and w.u < c.hi")
-        state = w.join(c, hit, "left").select("w.start", "w.walk_no", F.coalesce("c.dst", "w.at").alias("at"), F.coalesce("c.dst_degree", F.lit(0)).alias("degree"), F.when(F.col("c.dst").isNotNull(), F.concat("w.path", F.array("c.pred", "c.dst_label"))).otherwise(F.col("w.path")).alias("path"))
-    return state.select("start", "walk_no", "path")
-
-
-def walks_of_length(graph: Graph, wedges: DataFrame, starts: DataFrame, tokens: int, per_start: int = 1, attempts: int = 16, length: int = LENGTH, seed: int = SEED, strict: bool = True) -> DataFrame:
-    """Walks of exactly `tokens` tokens: the first of `attempts` tries that has them. strict: raise for a walk that has none; else it is left out."""
-    tries = walks(graph, wedges, starts, per_start * attempts, length, seed).withColumn("attempt", F.col("walk_no") % attempts).withColumn("walk_no", F.floor(F.col("walk_no") / attempts))
-    good = F.when(F.size("path") == tokens, F.col("attempt"))
-    found = tries.groupBy("start", "walk_no").agg(F.min(good).alias("attempt"), F.min_by("path", good).alias("path"))
-    if strict:
-        return found.withColumn("path", F.when(F.col("attempt").isNull(), F.raise_error(F.concat(F.lit("no walk of that length from node "), F.col("start").cast("string"))).cast("array<string>")).otherwise(F.col("path")))
-    return found.where(F.col("attempt").isNotNull())
+    return Walker(graph, wedges).go(_numbered(starts, per_start).withColumn("draw", F.col("walk_no")), length, seed).drop("draw")
+
+
+def walks_of_length(graph: Graph, wedges: DataFrame, starts: DataFrame, tokens: int, per_start: int = 1, attempts: int = 4, length: int = LENGTH, seed: int = SEED, strict: bool = True) -> DataFrame:
+    """Walks of exactly `tokens` tokens: each the first of its draws that has them, however many that takes.
+
+    A start from which no walk can have them raises if strict, and is left out else. Walks that are still open draw again, twice as often each time from `attempts` on.
+    """
+    steps = (tokens - 1) // 2
+    wanted, can = _numbered(starts, per_start), None
+    if tokens % 2 == 0 or steps > length:
+        can = graph.nodes.limit(0).select(F.col("node_id").alias("start"))
+    elif steps == length:  # a node can if an edge leads to one that can with a step less
+        can = graph.nodes.select(F.col("node_id").alias("start"))
+        for _ in range(steps):
+            can = wedges.join(can.withColumnRenamed("start", "dst"), "dst", "left_semi").select(F.col("src").alias("start")).distinct()
+    else:  # it must come to an end without edges in so many steps
+        can = graph.nodes.select(F.col("node_id").alias("start")).join(wedges.select(F.col("src").alias("start")), "start", "left_anti")
+        for _ in range(steps):
+            can = wedges.join(can.withColumnRenamed("start", "dst"), "dst", "left_semi").select(F.col("src").alias("start")).distinct()
+    can = cut(can)
+    none = wanted.join(can, "start", "left_anti").select("start")
+    if strict and (bad := none.first()) is not None:
+        raise ValueError(f"no walk of that length from node {bad.start}")
+    open_, done, walker, first = cut(wanted.join(can, "start", "left_semi")), [], Walker(graph, wedges), 0
+    walker.cells = cut(walker.cells)
+    while not open_.isEmpty():
+        tries = open_.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1)))).withColumn("draw", F.col("attempt") * per_start + F.col("walk_no"))
+        good = walker.go(tries, length, seed).where(F.size("path") == tokens)
+        found = cut(good.groupBy("start", "walk_no").agg(F.min_by("path", "draw").alias("path")))
+        done.append(found)
+        open_ = cut(open_.join(found, ["start", "walk_no"], "left_anti"))
+        first, attempts = first + attempts, attempts * 2
+    rows = done[0] if done else wanted.limit(0).withColumn("path", F.array().cast("array<string>"))
+    for d in done[1:]:
+        rows = rows.unionByName(d)
+    return rows
+
+
+def walks_from_random(graph: Graph, wedges: DataFrame, n: int, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """n walks, each from a node drawn evenly; a node that is drawn twice has two walks."""
+    starts = random_starts(graph, n, seed).select(F.col("node_id").alias("start"), "walk_no", F.col("walk_no").alias("draw"))
+    return Walker(graph, wedges).go(starts, length, seed).drop("draw")
 
 
 def random_starts(graph: Graph, n: int, seed: int = SEED) -> DataFrame:

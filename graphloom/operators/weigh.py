@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import Graph, counts
 
@@ -14,9 +14,9 @@ Weigher = Callable[[Graph, DataFrame | None, float | None], DataFrame]
 
 
 def normalise(raw: DataFrame) -> DataFrame:
-    """edges with raw -> edges with weight: a source's weights sum to 1."""
-    total = F.sum("raw").over(W.partitionBy("src"))
-    return raw.select("edge_id", "src", "dst", "pred", (F.col("raw") / total).alias("weight"))
+    """edges with raw -> edges with weight: a source's weights sum to 1. Totals are partial sums joined back, so that a source of many edges is no single task."""
+    total = raw.groupBy("src").agg(F.sum("raw").alias("total"))
+    return raw.join(total, "src").select("edge_id", "src", "dst", "pred", (F.col("raw") / F.col("total")).alias("weight"))
 
 
 def _frequency(*by: str, inverse: bool = False, power: int = 1) -> Weigher:

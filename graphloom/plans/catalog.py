@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.hashing import murmur128_hex
+from ..functions.hashing import murmur128_hex, murmur32_hex
 from ..operators import colouring, cooccurrence, graph as g, order, vectors, walk, weigh
 from ..schema import OWL_THING, RDF_TYPE
 from ..sources import ntriples, tables
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-WALKS, LENGTH, TOKENS, TRIES = 50, 4, 9, 4
+WALKS, LENGTH, TOKENS = 50, 4, 9
 SWEEP = [(0.5, 1e-3), (0.5, 1e-4), (0.5, 1e-5)]
 #: Rounds of the recursive SQL; further rounds change nothing.
 ROUNDS = {1e-3: 40, 1e-4: 60, 1e-5: 80}
@@ -69,15 +69,22 @@ def query(sql: str | None = None, name: str | None = None):
 
 # --- sources
 
-PARSE = "select line_no, case when regexp_extract(value, '{x}', 1) <> '' then regexp_extract(value, '{x}', 1) else regexp_extract(value, '{x}', 2) end as s, regexp_extract(value, '{x}', 3) as p, case when starts_with(rest, '<') then regexp_extract(rest, '^(<[^>]*>)', 1) when starts_with(rest, '_:') then regexp_extract(rest, '^(_:\\S+)', 1) else regexp_replace(rest, '[ .]+$', '') end as o from (select line_no, value, regexp_extract(value, '{x}', 4) as rest from lines where regexp_matches(value, '\\S') and not starts_with(value, '#'))".replace("{x}", ntriples.LINE)
-LINES = f"with lines as (select line_no, concat(s, ' ', p, ' ', o, ' .') as value from ({TRADE}) union all select r_regionkey, concat('# ', r_name) from region union all select 100 + r_regionkey, '   ' from region)"
+#: By positions in the line, not by the engine's pattern: where the subject ends, where the predicate's brackets are, and what follows.
+PARSE = """select line_no, s, p, case when starts_with(rest, '<') then substr(rest, 1, strpos(rest, '>')) when starts_with(rest, '_:') then split_part(rest, ' ', 1) else rtrim(rest, ' .') end as o
+from (select line_no, s, substr(tail, strpos(tail, '<'), strpos(tail, '>') - strpos(tail, '<') + 1) as p, ltrim(substr(tail, strpos(tail, '>') + 1)) as rest
+from (select line_no, case when starts_with(ltrim(value), '_:') then split_part(ltrim(value), ' ', 1) else substr(value, strpos(value, '<'), strpos(value, '>') - strpos(value, '<') + 1) end as s,
+case when starts_with(ltrim(value), '_:') then substr(ltrim(value), strpos(ltrim(value), ' ')) else substr(value, strpos(value, '>') + 1) end as tail from lines where trim(value) <> '' and not starts_with(value, '#')))"""
+LINES = f"with lines as (select line_no, concat(s, ' ', p, ' ', o, ' .') as value from ({TRADE}) union all select r_regionkey, concat('# ', r_name) from region union all select 100 + r_regionkey, '   ' from region union all select 200 + r_regionkey, concat(' _:b', r_regionkey, ' <near> _:c', r_regionkey, ' .') from region)"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = r.table(spark, sf_dir, "region")
     notes = region.select(F.col("r_regionkey").cast("long").alias("line_no"), F.concat(F.lit("# "), "r_name").alias("value"))
     blank = region.select((F.col("r_regionkey") + 100).cast("long").alias("line_no"), F.lit("   ").alias("value"))
-    return r.lines(r.trade(spark, sf_dir)).unionByName(notes).unionByName(blank)
+    key = F.col("r_regionkey").cast("string")
+    nameless = F.concat(F.lit(" _:b"), key, F.lit(" <near> _:c"), key, F.lit(" ."))
+    nodes = region.select((F.col("r_regionkey") + 200).cast("long").alias("line_no"), nameless.alias("value"))
+    return r.lines(r.trade(spark, sf_dir)).unionByName(notes).unionByName(blank).unionByName(nodes)
 
 
 @query(f"{LINES} {PARSE}")
@@ -149,7 +156,7 @@ def reverse_graph(spark, sf_dir):
     return g.reverse(_trade(spark, sf_dir).edges)
 
 
-PRUNED = "select edge_id, src, dst, pred from edges where dst in (select src from edges)"
+PRUNED = "select edge_id, src, dst, pred from edges semi join (select distinct src as alive from edges) on dst = alive"
 
 
 @query(f"{TRADE_SQL} {PRUNED}")
@@ -162,7 +169,7 @@ def entities(spark, sf_dir):
     return g.entities(_trade(spark, sf_dir))
 
 
-@query(f"{_graph_sql(TRADE, False)}, pruned as ({PRUNED}) select node_id, (select count(*) from pruned where src = node_id) as degree from entities")
+@query(f"{_graph_sql(TRADE, False)}, pruned as ({PRUNED}) select node_id, coalesce(n, 0) as degree from entities left join (select src, count(*) as n from pruned group by src) on src = node_id")
 def walk_starts_pruned(spark, sf_dir):
     pruned, starts = g.walk_graph(r.trade(spark, sf_dir))
     degree = g.counts(pruned.edges, "src").select(F.col("src").alias("node_id"), "n")
@@ -214,11 +221,15 @@ for _i, (_label, _) in weigh.STRATEGIES.items():
 CELLS = ", cum as (select *, sum(weight) over (partition by src order by edge_id rows unbounded preceding) as top, lead(edge_id) over (partition by src order by edge_id) as later from wedges), cells as materialized (select *, coalesce(lag(case when later is null then greatest(1.0, top) else top end) over (partition by src order by edge_id), 0.0) as lo, case when later is null then greatest(1.0, top) else top end as hi from cum)"
 
 
-def walks_sql(per_start: int, starts: str = "entities", predicate: str = "") -> str:
-    draw = lambda step: f"(('0x' || substr(md5(concat_ws('|', {walk.SEED}, start, walk_no, {step})), 1, 8))::ubigint)::double / 4294967296.0"
-    out = f", st0 as (select node_id as start, w.walk_no, node_id as at, [label] as path from {starts} join nodes using (node_id), (select unnest(range({per_start})) as walk_no) w)"
+def walks_sql(per_start: int, starts: str = "entities") -> str:
+    return f", st0 as (select node_id as start, w.walk_no, node_id as at, [label] as path from {starts} join nodes using (node_id), (select unnest(range({per_start})) as walk_no) w){walk_steps_sql()}"
+
+
+def walk_steps_sql() -> str:
+    """CTEs from st0 (start, walk_no, at, path) to walks."""
+    out, draw = "", f"(('0x' || substr(md5(concat_ws('|', {walk.SEED}, start, walk_no, {{}})), 1, 8))::ubigint)::double / 4294967296.0"
     for k in range(LENGTH):
-        out += f", st{k + 1} as materialized (select w.start, w.walk_no, coalesce(c.dst, w.at) as at, case when c.dst is null then w.path else list_concat(w.path, [c.pred, n.label]) end as path from (select *, {draw(k)} as u from st{k}) w left join cells c on w.at = c.src and w.u >= c.lo and w.u < c.hi left join nodes n on c.dst = n.node_id)"
+        out += f", st{k + 1} as materialized (select w.start, w.walk_no, coalesce(c.dst, w.at) as at, case when c.dst is null then w.path else list_concat(w.path, [c.pred, n.label]) end as path from (select *, {draw.format(k)} as u from st{k}) w left join cells c on w.at = c.src and w.u >= c.lo and w.u < c.hi left join nodes n on c.dst = n.node_id)"
     return out + f", walks as (select start, walk_no, path from st{LENGTH})"
 
 
@@ -245,10 +256,20 @@ for _name, _i in (("walk_uniform", 1), ("walk_rank_biased", 10)):
     query(f"{_walk_sql(_i)} select start, walk_no, array_to_string(path, ' ') as walk from walks", _name)(lambda spark, sf_dir, i=_i: _path(walk.walks(*_walks(spark, sf_dir, i), WALKS, LENGTH)))
 
 
-@query(f"{_walk_sql(1, WALKS * TRIES)} select start, walk_no // {TRIES} as walk_no, arg_min(array_to_string(path, ' '), walk_no) as walk from walks where len(path) = {TOKENS} group by 1, 2")
+#: A row is a walk's draw at a step; one that ends early begins its next draw, and none goes on once it has the length.
+RETRIED = f"""{_graph_sql(TRADE, False)} {weights_sql(1)} {CELLS}, w as (
+select node_id as start, k.walk_no, 0 as attempt, 0 as step, node_id as at, [label] as path from entities join nodes using (node_id), (select unnest(range({WALKS})) as walk_no) k
+union all
+select d.start, d.walk_no, case when c.dst is null then d.attempt + 1 else d.attempt end, case when c.dst is null then 0 else d.step + 1 end, coalesce(c.dst, d.start), case when c.dst is null then [d.path[1]] else list_concat(d.path, [c.pred, n.label]) end
+from (select *, (('0x' || substr(md5(concat_ws('|', {walk.SEED}, start, attempt * {WALKS} + walk_no, step)), 1, 8))::ubigint)::double / 4294967296.0 as u from w where step < {LENGTH}) d
+left join cells c on d.at = c.src and d.u >= c.lo and d.u < c.hi left join nodes n on c.dst = n.node_id where d.attempt < 100)
+select start, walk_no, array_to_string(path, ' ') as walk from w where step = {LENGTH}"""
+
+
+@query(RETRIED)
 def walk_length_enforced(spark, sf_dir):
     graph, wedges, starts = _walks(spark, sf_dir, 1)
-    return _path(walk.walks_of_length(graph, wedges, starts, TOKENS, WALKS, TRIES, LENGTH, strict=False))
+    return _path(walk.walks_of_length(graph, wedges, starts, TOKENS, WALKS, length=LENGTH, strict=False))
 
 
 @query(f"{_walk_sql(1)} select count(distinct start) as starts, count(*) as walks, round(avg(len(path)), 6) as mean_tokens, (select count(*) from nodes) as nodes from walks")
@@ -268,6 +289,15 @@ def walk_random_starts(spark, sf_dir):
     return walk.random_starts(g.build(r.trade(spark, sf_dir), literals=False), 10_000)
 
 
+RANDOM = f", st0 as (select node_id as start, walk_no, node_id as at, [label] as path from (select walk_no, floor((('0x' || substr(md5(concat_ws('|', {walk.SEED}, 'start', walk_no)), 1, 8))::ubigint)::double / 4294967296.0 * (select count(*) from nodes))::bigint as node_id from (select unnest(range(10000)) as walk_no)) join nodes using (node_id))"
+
+
+@query(f"{_graph_sql(TRADE, False)} {weights_sql(1)} {CELLS} {RANDOM} {walk_steps_sql()} select start, walk_no, array_to_string(path, ' ') as walk from walks")
+def walk_from_random(spark, sf_dir):
+    graph, wedges, _ = _walks(spark, sf_dir, 1)
+    return _path(walk.walks_from_random(graph, wedges, 10_000, LENGTH))
+
+
 # --- colouring
 
 UNIFORM = ", wedges as materialized (select *, 1.0::double / count(*) over (partition by src) as weight from edges)"
@@ -314,14 +344,16 @@ def bca_edges(spark, sf_dir):
     return _round(_coloured(spark, sf_dir)[1])
 
 
-PUSHED = """, paint as (
-select 0 as round, node_id as seed, node_id as node, 1.0::double as paint from nodes
+def pushed_sql(alpha: float, epsilon: float, seeds: str = "nodes") -> str:
+    """CTE: pushed (seed, edge_id, dst, pred, val)."""
+    return f""", paint as (
+select 0 as round, node_id as seed, node_id as node, 1.0::double as paint from {seeds}
 union all
-select t.round + 1, t.seed, e.dst, sum(0.5 * t.paint * e.weight) from paint t join wedges e on t.node = e.src where t.round < 40 group by t.round, t.seed, e.dst having sum(0.5 * t.paint * e.weight) > 0.001)
-select seed, edge_id, dst, round(sum(0.5 * paint * weight) + 1.7e-8, 6) as val from paint join wedges on node = src where round < 40 group by seed, edge_id, dst"""
+select t.round + 1, t.seed, e.dst, sum({1 - alpha} * t.paint * e.weight) from paint t join wedges e on t.node = e.src where t.round < 100 group by t.round, t.seed, e.dst having sum({1 - alpha} * t.paint * e.weight) > {epsilon}),
+pushed as (select seed, edge_id, dst, pred, sum({alpha} * paint * weight) as val from paint join wedges on node = src where round < 100 group by seed, edge_id, dst, pred)"""
 
 
-@query(f"{PLACES_SQL} {UNIFORM} {PUSHED}")
+@query(f"{PLACES_SQL} {UNIFORM} {pushed_sql(0.5, 1e-3)} select seed, edge_id, dst, {ROUND6} from pushed")
 def bca_pushed(spark, sf_dir):
     graph = _places(spark, sf_dir)
     return _round(colouring.colour_pushed(weigh.weigh(graph), graph.nodes.select(F.col("node_id").alias("seed"))))
@@ -360,25 +392,46 @@ def bcv_add(spark, sf_dir):
     return _round(vectors.add(colouring.colour(weigh.weigh(graph), seeds, predicates=g.predicate_ids(graph)), colouring.colour(weigh.weigh(back), seeds)))
 
 
-@query()
+ENTRY = "printf('%.6f', round(val + 1.7e-8, 6))"
+
+
+@query(f"{PLACES_SQL} {UNIFORM} {colour_sql(0.5, 1e-3, predicates=False)} select seed, '{{' || string_agg(label || ' = ' || {ENTRY}, ', ' order by key) || '}}' as text from bcv join nodes on key = node_id group by seed")
 def bcv_text(spark, sf_dir):
     graph, v = _coloured(spark, sf_dir, False)
-    return vectors.render(v, graph.nodes.select(F.col("node_id").alias("key"), "label"))
+    return vectors.render(_round(v), graph.nodes.select(F.col("node_id").alias("key"), "label"))
 
 
 # --- order
 
 
-@query()
+#: Rounds of the order in SQL; the graph of places needs three.
+LEVELS = 6
+
+
+def levels_sql() -> str:
+    """CTEs: levels (node_id, level) and simple (src, dst)."""
+    out = ", simple as materialized (select distinct src, dst from edges where src <> dst), w0 as (select node_id from nodes), l0 as (select src, dst from simple)"
+    for k in range(LEVELS):
+        out += f""", e{k} as materialized (select node_id from w{k} where node_id not in (select src from l{k})),
+n{k} as materialized (select node_id, coalesce(n, 0) as n from (select src as node_id from l{k} union select dst from l{k}) left join (select dst as node_id, count(*) as n from l{k} group by dst) using (node_id)),
+b{k} as (select src as a, dst as b from l{k} union all select dst, src from l{k}),
+m{k} as materialized (select node_id from n{k} anti join (select a as node_id from b{k} join n{k} x on a = x.node_id join n{k} y on b = y.node_id where y.n > x.n or (y.n = x.n and b < a)) using (node_id)),
+t{k} as materialized (select node_id from e{k} union all select node_id from m{k} where not exists (select 1 from e{k})),
+w{k + 1} as materialized (select node_id from w{k} anti join t{k} using (node_id)),
+l{k + 1} as materialized (select src, dst from l{k} where src not in (select node_id from t{k}) and dst not in (select node_id from t{k}))"""
+    return out + ", levels as (" + " union all ".join(f"select node_id, {k} as level from t{k}" for k in range(LEVELS)) + ")"
+
+
+@query(f"{PLACES_SQL} {levels_sql()} select node_id, level from levels")
 def order_levels(spark, sf_dir):
     graph = _places(spark, sf_dir)
     return order.levels(graph.nodes, graph.edges)
 
 
-@query(f"{PLACES_SQL} select count(*) as n, true as is_permutation from nodes")
+@query(f"{PLACES_SQL} {levels_sql()}, placed as materialized (select node_id, row_number() over (order by level, node_id) as pos from levels) select (select count(*) from placed) as n, (select count(*) from placed) = (select count(*) from nodes) as is_permutation, count(*) as n_ahead from simple join placed s on src = s.node_id join placed d on dst = d.node_id where d.pos > s.pos")
 def order_check(spark, sf_dir):
     graph = _places(spark, sf_dir)
-    return order.check(order.order(graph.nodes, graph.edges))
+    return order.check(order.order(graph.nodes, graph.edges), graph.edges)
 
 
 # --- matrices
@@ -423,7 +476,11 @@ def cooc_sweep(spark, sf_dir):
     return _round(cooccurrence.sweep(graph, weigh.weigh(graph), SWEEP))
 
 
-@query()
+PAIRS = "pairs as (select pred, dst, row_number() over (order by src, edge_id) as pair_id from (select pred, dst, arg_min(edge_id, src * 1000000000000 + edge_id) as edge_id, min(src) as src from edges group by pred, dst))"
+RESOURCES = ", resources as (select node_id from nodes where starts_with(label, '<'))"
+
+
+@query(f"{PLACES_SQL} {UNIFORM} {RESOURCES} {pushed_sql(0.1, 1e-3, 'resources')}, {PAIRS} select seed + 1 as word1, pair_id + (select count(*) from nodes) as word2, round(sum(val) + {PAST_TIE}, 6) as val from pushed join pairs using (pred, dst) group by seed, pair_id")
 def cooc_pushed(spark, sf_dir):
     graph = _places(spark, sf_dir)
     return _round(cooccurrence.frequencies_pushed(graph, weigh.weigh(graph), epsilon=1e-3))
@@ -435,6 +492,27 @@ def pred_transpose(spark, sf_dir):
     return cooccurrence.transpose_predicates(_round(cooccurrence.frequencies(graph, weigh.weigh(graph))), graph.nodes.count() + 1)
 
 
+@query()
+def cooc_cached(spark, sf_dir):
+    """By the order of levels; equal to bca_cached's vectors, normalised."""
+    graph = _places(spark, sf_dir)
+    return cooccurrence.frequencies_cached(graph, weigh.weigh(graph), order.order(graph.nodes, graph.edges))
+
+
+@query(f"{PLACES_SQL} {UNIFORM} {pushed_sql(0.5, 1e-3)} select seed, '{{' || string_agg('(' || pred || ',' || label || ') = ' || {ENTRY}, ', ' order by dst, pred) || '}}' as text from (select seed, pred, dst, sum(val) as val from pushed group by seed, pred, dst) join nodes on dst = node_id group by seed")
+def bcv_pair_text(spark, sf_dir):
+    graph = _places(spark, sf_dir)
+    pushed = colouring.colour_pushed(weigh.weigh(graph), graph.nodes.select(F.col("node_id").alias("seed")))
+    named = pushed.join(graph.edges.select("edge_id", "pred"), "edge_id").groupBy("seed", "pred", "dst").agg(F.sum("val").alias("val"))
+    return vectors.render_pairs(_round(named), graph.nodes)
+
+
+@query()
+def murmur32(spark, sf_dir):
+    labels = g.encode_nodes(r.places(spark, sf_dir))
+    return labels.select("label", murmur32_hex("label").alias("digest"))
+
+
 @query()
 def murmur128(spark, sf_dir):
     labels = g.encode_nodes(r.places(spark, sf_dir))

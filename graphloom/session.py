@@ -23,9 +23,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Ships the package, and sets a checkpoint folder where the cluster has named none."""
+    """Ships the package, and sets a checkpoint folder on a local master that has none; a cluster must name one that its machines share."""
     ship(spark)
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
     return spark
 

@@ -3,9 +3,10 @@
 import struct
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from graphloom.functions.hashing import murmur128
+from graphloom.functions import hashing
+from graphloom.functions.progress import counted
 from graphloom.functions.queue import PaintQueue
 from graphloom.operators import colouring, cooccurrence, graph as g, order, vectors, walk, weigh
 from graphloom.schema import OWL_THING, RDF_TYPE
@@ -182,6 +183,7 @@ def test_levels(spark, lines, rounds):
     rows = order.levels(graph.nodes, graph.edges, simple=False).join(graph.nodes, "node_id").orderBy("level").collect()
     assert [r.label[1:-1] for r in rows] == rounds
     assert order.check(order.order(graph.nodes, graph.edges)).first() == (len(rounds), True)
+    assert order.check(order.order(graph.nodes, graph.edges), graph.edges).first().n_ahead == (len(rounds) == 4)
 
 
 def test_walks(spark, eight, ranks):
@@ -249,6 +251,104 @@ def test_queue():
 
 
 def test_murmur_known_values():
-    assert murmur128(b"", 0) == bytes(16)
-    assert murmur128(b"hello", 0).hex() == "029bbd41b3a7d8cb191dae486a901e5b"
-    assert murmur128(b"The quick brown fox jumps over the lazy dog", 0).hex() == "6c1b07bc7bbc4be347939ac4a93c437a"
+    """Digests that are public, and of the four-lane variant one at the default seed; ends of all lengths go with their own value only."""
+    words = lambda x, seed: hashing.digests([x], hashing.murmur128_words, seed)[0].hex()
+    assert words(b"", 0) == "0" * 32
+    assert words(b"hello", 0) == "029bbd41b3a7d8cb191dae486a901e5b"
+    assert words(b"The quick brown fox jumps over the lazy dog", 0) == "6c1b07bc7bbc4be347939ac4a93c437a"
+    assert hashing.digests([b"hello"], hashing.murmur32, 0)[0][::-1].hex() == "248bfa47"
+    assert hashing.digests([b"hello"], hashing.murmur128_lanes)[0].hex().upper() == "817631F444F72C67A67DED06A67DED06"
+
+
+def plain_lanes(data, seed):
+    """The four-lane variant a value at a time, in whole numbers."""
+    m = 0xFFFFFFFF
+    turn = lambda x, r: (x << r | x >> (32 - r)) & m
+    c, h = hashing.LANES, [seed] * 4
+    for at in range(0, len(data), 16):
+        block = data[at : at + 16]
+        for i in range(4):
+            k = int.from_bytes(block[4 * i : 4 * i + 4], "little") * c[i] & m
+            h[i] ^= turn(k, (15, 16, 17, 18)[i]) * c[(i + 1) % 4] & m
+            if len(block) == 16:
+                h[i] = ((turn(h[i], (19, 17, 15, 13)[i]) + h[(i + 1) % 4]) * 5 + (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)[i]) & m
+    h = [x ^ len(data) for x in h]
+    spread = lambda h: [sum(h) & m, *((x + sum(h)) & m for x in h[1:])]
+    h = spread(h)
+    for i, x in enumerate(h):
+        x = (x ^ x >> 16) * 0x85EBCA6B & m
+        x = (x ^ x >> 13) * 0xC2B2AE35 & m
+        h[i] = x ^ x >> 16
+    return b"".join(x.to_bytes(4, "little") for x in spread(h))
+
+
+def test_murmur_of_all_lengths(spark):
+    values = [bytes((7 * i + n) % 256 for i in range(n)) for n in range(50)]
+    assert hashing.digests(values, hashing.murmur128_lanes) == [plain_lanes(v, hashing.SEED) for v in values]
+    rows = spark.createDataFrame([("hello",), (None,), ("",), ("hello",)], "v string").select("v", hashing.murmur128_hex("v").alias("d")).collect()
+    assert [r.d for r in rows] == ["817631F444F72C67A67DED06A67DED06", None, plain_lanes(b"", hashing.SEED).hex().upper(), "817631F444F72C67A67DED06A67DED06"]
+
+
+def test_a_source_of_very_many_edges(spark):
+    n = 300_000
+    edges = spark.range(n).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("<p>").alias("pred"))
+    graph = g.Graph(spark.range(n + 1).select(F.col("id").alias("node_id"), F.concat(F.lit("<"), "id", F.lit(">")).alias("label")), edges)
+    cells = walk.intervals(weigh.weigh(graph)).agg(F.min("lo"), F.max("hi"), F.sum(F.col("hi") - F.col("lo")), F.count("*"), F.max(F.abs(F.col("lo") - F.col("edge_id") / n))).first()
+    assert cells[0] == 0 and cells[1] == 1 and abs(cells[2] - 1) < 1e-9 and cells[3] == n and cells[4] < 1e-9
+    ordered = walk.intervals(weigh.weigh(graph)).select("lo", F.lag("hi").over(Window.orderBy("edge_id")).alias("end"))
+    assert ordered.where("end is not null and end <> lo").count() == 0
+
+
+def test_many_cycles_are_broken_in_one_round(spark):
+    n = 10_000
+    pairs = spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    found = order.levels(spark.range(2 * n).withColumnRenamed("id", "node_id"), edges).groupBy("level").count().collect()
+    assert {(r.level, r["count"]) for r in found} == {(0, n), (1, n)}
+    loop = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "src long, dst long")
+    assert order.levels(spark.range(2).withColumnRenamed("id", "node_id"), loop, simple=False).count() == 2
+
+
+def test_walks_from_random_nodes(spark, eight):
+    found = walk.walks_from_random(eight, weigh.weigh(eight), 200, 3).collect()
+    starts = {r.walk_no: r.node_id for r in walk.random_starts(eight, 200).collect()}
+    assert {r.walk_no: r.start for r in found} == starts and len(found) == 200
+
+
+def test_walks_of_a_length_are_all_found(spark, eight):
+    """However often the draw must be repeated; those that end early count too."""
+    found = walk.walks_of_length(eight, weigh.weigh(eight), g.entities(eight).where("node_id < 3"), 9, 200, 1).collect()
+    assert len(found) == 600 and all(len(r.path) == 9 for r in found)
+    assert walk.walks_of_length(eight, weigh.weigh(eight), g.entities(eight), 9, 2, strict=False).select("start").distinct().count() == 3
+
+
+def test_cached_vectors_and_matrix(spark):
+    graph = built(spark, TWO)
+    wedges, o = weigh.weigh(graph), order.order(graph.nodes, graph.edges)
+    found = by_label(graph, colouring.colour_cached(wedges, o, predicates=g.predicate_ids(graph)))
+    assert found == COLOURED["two"][1]
+    m = cooccurrence.frequencies_cached(graph, wedges, o)
+    assert {(r.word1, r.word2): round(r.val, 6) for r in m.where("word1 = 2").collect()} == {(2, 3): 0.333333, (2, 6): 0.666667}
+
+
+def test_pairs_as_text(spark):
+    graph = built(spark, TWO)
+    v = spark.createDataFrame([(0, "<beta>", 1, 0.25), (0, "<gamma>", 1, 0.25), (0, "<delta>", 2, 0.0078125)], "seed long, pred string, dst long, val double")
+    assert vectors.render_pairs(v, graph.nodes).first().text == "{(<beta>,<B>) = 0.250000, (<gamma>,<B>) = 0.250000, (<delta>,<C>) = 0.007813}"
+
+
+def test_records_are_replaced_and_transposed(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 0.5), (1, 9, 0.25)], "word1 int, word2 int, val double")
+    where = f"file://{tmp_path}/m"
+    crec.write(rows, where)
+    crec.write(rows.limit(1), where)
+    assert crec.read(spark, where).count() == 1
+    crec.write(rows, where)
+    crec.transpose(spark, where, str(tmp_path / "t"), 9)
+    assert {tuple(r) for r in crec.read(spark, str(tmp_path / "t")).collect()} == {(1, 2, 0.5), (1, 9, 0.25), (9, 1, 0.25)}
+
+
+def test_progress_is_observed(spark):
+    df, seen = counted(spark.range(10), "ten", "id")
+    df.collect()
+    assert seen.get == {"rows": 10, "id": 45}
