@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,11 +44,19 @@ STAGES = [("quality", good), ("near_duplicates", single), ("personal_data", priv
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written to the shared folder and read again as the next one's documents."""
+    """Each stage's rows are written to the shared folder and read again as the next one's documents; then what the stage has read is removed. The result's own folder stays."""
     docs = table(ready(spark), sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder, before = f"{shared}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
