@@ -19,8 +19,8 @@ SCALES = (1.0, 0.7071, 0.5)
 RADIUS, CHUNK, PIXELS = 7, 4096, 1 << 20
 #: Bits of a descriptor; 64-bit parts, a table for each; matches in agreement that make a copy.
 BITS, TABLES, AGREE = 256, 4, 5
-#: Corners of a bucket that are all paired at once, and of the largest copy group of a crowded one; pictures that hot parts are looked for in, and the share of them that makes a part hot.
-BUCKET, GROUP, LOOKED, HOT = 256, 4096, 4096, 0.01
+#: Corners of a bucket that are all paired at once; of a block of a larger one, and of a block of its largest copy group; pictures that hot parts are looked for in, and the share of them that makes a part hot.
+SMALL, BUCKET, GROUP, LOOKED, HOT = 16, 256, 4096, 4096, 0.01
 #: Rows that a task gathers before it looks at whole buckets.
 GATHERED = 1 << 15
 _RNG = np.random.default_rng(41)
@@ -210,7 +210,7 @@ def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _buckets(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """Rows sorted by g -> whole buckets with None, or a part of a bucket of more than BUCKET rows with its first row. No large bucket is held."""
+    """Rows sorted by g -> whole buckets with None, or a part of a bucket of more than SMALL rows with its first row. No large bucket is held."""
     rest, first = np.zeros(0, ROW), None
     for rows in batches:
         rows = np.concatenate([rest, rows])
@@ -226,7 +226,7 @@ def _buckets(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
         if last:
             yield rows[:last], None
         rest, first = rows[last:], None
-        if len(rest) > BUCKET:
+        if len(rest) > SMALL:
             yield rest, rest[:1]
             rest, first = rest[:0], rest[:1]
     if len(rest):
@@ -236,7 +236,7 @@ def _buckets(batches: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
 def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of parts() -> matches (a, b, m) and, with b null, the corners (a: image, m: place, g) of crowded buckets.
 
-    A bucket of up to BUCKET rows gives all its matches. In a larger one each corner is matched with the bucket's first and with the one before it, which links copies of a picture; then later_matches() sees to the rest. A hot part's corners aren't brought together: wherever they are, they are matched with the part's own one.
+    A bucket of up to SMALL rows gives all its matches. In a larger one each corner is matched with the bucket's first and with the one before it, which links copies of a picture; then later_matches() sees to the rest. A hot part's corners aren't brought together: wherever they are, they are matched with the part's own one.
     """
 
     def match(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -284,11 +284,16 @@ def first_matches(entries: DataFrame, hot: DataFrame) -> DataFrame:
                 continue
             starts = group_starts(pa.array(rows["g"]))
             sizes = np.diff(np.r_[starts, len(rows)])
-            small = (sizes > 1) & (sizes <= BUCKET)
+            small, more = (sizes > 1) & (sizes <= SMALL), sizes > SMALL
             for x, y in _pairs(starts[small], sizes[small]):
                 yield match(rows, x, y)
-            for s, n in zip(starts[sizes > BUCKET].tolist(), sizes[sizes > BUCKET].tolist(), strict=True):
-                yield from large(rows[s : s + n], rows[s : s + 1])
+            if more.any():
+                begin, of = np.repeat(starts, sizes), np.flatnonzero(np.repeat(more, sizes))
+                later = of[of > begin[of]]
+                yield match(rows, later, later - 1)
+                later = later[later > begin[later] + 1]
+                yield match(rows, later, begin[later])
+                yield crowd(rows[of])
         yield from hots
 
     marked = entries.join(F.broadcast(hot.select("g", F.col("image_id").alias("own"), F.col("place").alias("other"))), "g", "left").select("g", "image_id", "place", "own", "other")
