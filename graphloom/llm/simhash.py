@@ -127,8 +127,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 #: For near_copies: min-hashes of a band and bands; the SimHash radius that pairs of similarity 0.8 keep within but for one in a thousand; hashes kept of a set; rows of a block of a large shard; bytes of whole sets in a block of a shard that needs them.
 BAND, BANDS, WIDE_RADIUS, SKETCH, BLOCK, BYTES = 4, 12, 20, 192, 2048, 1 << 25
-#: One in so many shards has its unsure pairs decided before the others.
-TURNS = 5
 #: Sketches decide a pair only where they are this many deviations off the threshold, or, where they hold whole sets (of 32 bits a hash), this much.
 DEVIATIONS, WHOLE_MARGIN = 6, 0.02
 _MULTIPLIERS = np.random.default_rng(29).integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,7 +166,7 @@ def verdict(a: np.ndarray, b: np.ndarray, least: float) -> int:
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, component_id), a row for each distinct doc_id that isn't null: documents whose sets of `shingle`-word shingles have a Jaccard similarity of `least` or more are linked; component_id is the smallest doc_id reachable.
 
-    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints of the sets finds those within WIDE_RADIUS bits, and sketches decide pairs well off the threshold. Documents of other pairs that are then still apart meet again in the shard with their whole sets, which decide: first in some of the shards, then, where those leave documents apart, in the others. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
+    Equal sets (so all wordless texts, too) are one group at once. For the others, min-hash bands deal documents into shards, where all with a band in common meet (a pair of similarity 0.8 does with probability 0.998, one of 0.9 always but for 3 in 10^6); in a shard, a BK-tree over SimHash fingerprints of the sets finds those within WIDE_RADIUS bits, and sketches decide pairs well off the threshold. Documents of other pairs that are then still apart meet again in the shard with their whole sets, which decide. A shard of more than BLOCK rows is dealt into pairs of blocks, so it loses no pair. Of rows that share a doc_id the one with the smallest set digest counts.
     """
     ready(docs.sparkSession)
 
@@ -220,7 +218,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(map(xxhash.xxh3_128_hexdigest, found), pa.string()), pa.array(found, pa.binary())], names=["doc_id", "same", "whole"])
+            own_set = [xxhash.xxh3_128_hexdigest(w) == same for w, same in zip(found, b.column(2).to_pylist(), strict=True)]
+            out = pa.record_batch([b.column(0), b.column(3), pa.array(found, pa.binary())], names=["doc_id", "fp", "whole"])
+            yield out.filter(pa.array(own_set, pa.bool_()))
 
     def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
@@ -241,10 +241,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
         rows = cut(rows.join(several, "g", "left_semi"))
         if rows.isEmpty():
             return None
-        ids = rows.select("doc_id").distinct()
-        texts = spread(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, same string, whole binary")
-        known = cut(own.select("doc_id", "same", "fp").join(reps, ["doc_id", "same"], "left_semi").join(ids, "doc_id", "left_semi"))
-        wholes = cut(known.join(texts, ["doc_id", "same"]).drop("same").dropDuplicates(["doc_id"]))
+        known = own.select("doc_id", "same", "fp").join(reps, ["doc_id", "same"], "left_semi").join(rows, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        wholes = spread(docs, "doc_id", "text").join(known, "doc_id").select("doc_id", "text", "same", "fp").mapInArrow(sets, "doc_id long, fp long, whole binary")
+        if own.groupBy("doc_id", "same").count().where("count > 1").limit(1).count():
+            wholes = wholes.dropDuplicates(["doc_id"])
+        wholes = cut(wholes)
         parts = rows.join(wholes.select("doc_id", F.octet_length("whole").alias("size")), "doc_id").groupBy("g").agg(F.ceil(F.sum("size") / BYTES).alias("n"))
         block = F.pmod(F.xxhash64("doc_id"), F.col("n"))
         keys = F.when(F.col("n") <= 1, F.array("g")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda j: F.xxhash64("g", F.least(block, j), F.greatest(block, j))))
@@ -254,12 +255,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     told = cut(dealt.select("g", "doc_id", "fp", "sketch").repartition("g").sortWithinPartitions("g", "doc_id").mapInArrow(within, "a long, b long, g long"))
     edges = told.where("b is not null").select("a", "b")
     unsure = told.where("b is null").select("g", F.col("a").alias("doc_id"))
-    # a pair shares several shards, and whole sets are large: some shards go first, and link most of what the others would see again
-    turn = F.pmod(F.xxhash64("g", F.lit(9)), F.lit(TURNS))
-    for some in (turn == 0, turn != 0):
-        more = decided(edges, unsure.where(some))
-        if more is not None:
-            edges = edges.unionByName(more)
+    more = decided(edges, unsure)
+    if more is not None:
+        edges = edges.unionByName(more)
     linked = components(edges)
     of = cut(firsts.join(linked, firsts["first"] == linked["node"], "left").select("same", F.coalesce("component", "first").alias("component_id")))
     return single.join(of, "same").select("doc_id", "component_id")
