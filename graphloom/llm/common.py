@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import session
 from ..session import cut  # noqa: F401
 
-#: Rows in one Arrow batch, so that a batch of long documents fits in a worker.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch, so that a batch of long documents fits in a worker.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 26
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """The library's session, with small Arrow batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return session.ready(spark)
 
 
