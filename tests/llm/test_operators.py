@@ -321,7 +321,39 @@ def test_threshold_algorithm_stops_early():
     q = np.array([3.0, 1.0])
     best, score = lists.top(q, -1, 5)
     want = sorted(range(4000), key=lambda i: (-(m[i] @ q), i))[:5]
-    assert best.tolist() == want and score.tolist() == [m[i] @ q for i in want]
+    assert best.tolist() == want and score.tolist() == [m[i] @ q for i in want] and lists.scored < 1000
+
+
+def test_threshold_is_carried_to_later_blocks():
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=16)
+    great, small = rng.normal(size=(500, 16)) * 10, rng.normal(size=(500, 16))
+    best = topk.Lists(np.arange(500), great).top(q, -1, 5)
+    later = topk.Lists(np.arange(500, 1000), small)
+    again = later.top(q, -1, 5, *best)
+    assert again[0].tolist() == best[0].tolist() and later.scored == 0
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Norms of all sizes, ties, and blocks of a few rows in stripes."""
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(700, 5)) * rng.choice([0.01, 1, 20], (700, 1)), 1)
+    v[100:160] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    m, got = np.floor(256 * v).astype(np.int64), {}
+    for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 5 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    assert len(got) == 140
+    for q, own in got.items():
+        best = sorted((-int(m[q] @ m[i]), i) for i in range(700) if i != q)[:5]
+        assert [own[k] for k in range(1, 6)] == [(-s, i) for s, i in best]
+
+
+def test_top_k_of_huge_components_raises(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(df, "vec_id", "embedding", F.col("vec_id") == 0)
 
 
 # --- mixing
