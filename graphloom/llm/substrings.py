@@ -22,6 +22,21 @@ SPAN = 1 << 10
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, tid, text) with their texts compressed, as all later shuffles carry them."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(map(squeeze, b.column(2).to_pylist()), pa.binary())], names=["doc_id", "tid", "text"])
+
+
+def _opener():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(P), n, 1 << 64))
 
@@ -166,17 +181,18 @@ def _anchor_rows(length: int, gram: int, parts: int):
             packed = [_pack(*(x[lo:hi] for x in columns)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
             return pa.record_batch([pa.array(part[first]), pa.array(packed, pa.binary())], names=["part", "rows"])
 
+        opened = _opener()
         for b in batches:
-            texts, ids, tids = b.column(2).to_pylist(), b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
-                    size += len(texts[hi])
-                    hi += 1
-                sizes = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
+            whole, ids, tids = b.column(2), b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            lo, texts, size = 0, [], 0
+            for hi in range(1, len(whole) + 1):
+                texts.append(opened(whole[hi - 1].as_py()))
+                size += len(texts[-1])
+                if hi < len(whole) and size < 1 << 20:
+                    continue
+                sizes = np.fromiter(map(len, texts), np.int64, hi - lo)
                 ends, owner = np.cumsum(sizes), np.repeat(np.arange(hi - lo), sizes)
-                data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+                data = np.frombuffer(b"".join(texts), np.uint8)
                 at, h, from_, last = owned(data, ends, owner, length, gram)
                 of = owner[at]
                 c = digests(data, from_, last + length) >> np.uint64(16)
@@ -184,7 +200,7 @@ def _anchor_rows(length: int, gram: int, parts: int):
                 found.append((h.view(np.int64), c.view(np.int64), s, from_ - (ends[of] - sizes[of]), last + length - from_, ids[lo + of], tids[lo + of]))
                 if sum(len(x[0]) for x in found) > PACKED:
                     yield send()
-                lo = hi
+                lo, texts, size = hi, [], 0
         if found:
             yield send()
 
@@ -251,9 +267,11 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        opened = _opener()
         for b in batches:
             out = []
             for m, tid, text, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                text = opened(text)
                 done = _runs([(a["span"] // SPAN, a["span"] // SPAN + a["span"] % SPAN) for a in found if not a["kind"]])
                 out += [(tid, None, m, tid, lo, hi) for lo, hi in done]
                 for a in found:
@@ -348,9 +366,11 @@ def _covers(length: int):
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, is_first, spans) -> the result."""
+    opened = _opener()
     for b in batches:
         rows = []
         for doc_id, text, first, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            text = opened(text)
             n = len(text)
             if not first and doc_id is not None and n >= LENGTH:
                 spans = [{"lo": 0, "hi": n}]
@@ -370,13 +390,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Each byte covered by a string of LENGTH bytes that also starts in a document with a smaller id goes. Null texts are empty; a null id is no smaller than any and has none smaller; rows with one id are no earlier than each other, whatever their texts; repeated rows have equal results; an empty table gives none.
 
-    Whole copies of a text are told by its digest: only the smallest id's goes on. Of its strings, each has anchors, its grams of smallest hash, so a repeat shares them; anchors that two documents have are looked at with the bytes around, their contexts. A context that an earlier document has is covered (told by two 64-bit hashes); where contexts differ, transforms of them are merged, and intervals of LENGTH common bytes say which strings repeat. An anchor with very many contexts is split: each string around it then has its own group.
+    Whole copies of a text are told by its digest: only the smallest id's goes on. Of its strings, each has anchors, its grams of smallest hash, so a repeat shares them; anchors that two documents have are looked at with the bytes around, their contexts. A context that an earlier document has is covered (told by hashes of 64 and 48 bits); where contexts differ, transforms of them are merged, and intervals of LENGTH common bytes say which strings repeat. An anchor with very many contexts is split: each string around it then has its own group.
     """
     ready(docs.sparkSession)
     rows = spread(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("digest", F.md5("text")).withColumn("tid", F.xxhash64("doc_id", "digest"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("m")).select(F.xxhash64("m", "digest").alias("tid"), "m")
-    marked = rows.join(firsts, "tid", "left").select("tid", "doc_id", "text", F.col("m").isNotNull().alias("first"))
+    packed = rows.select("doc_id", "tid", "text").mapInArrow(_squeezed, "doc_id long, tid long, text binary")
+    marked = packed.join(firsts, "tid", "left").select("tid", "doc_id", "text", F.col("m").isNotNull().alias("first"))
     single = marked.where("first").select("doc_id", "tid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(ready(docs.sparkSession).conf.get("spark.sql.shuffle.partitions")), size * 2 // (LENGTH - GRAM + 2) // ANCHORS)
