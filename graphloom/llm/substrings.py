@@ -397,6 +397,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.md5("text")).withColumn("tid", F.xxhash64("doc_id", "digest"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("m")).select(F.xxhash64("m", "digest").alias("tid"), "m")
     packed = rows.select("doc_id", "tid", "text").mapInArrow(_squeezed, "doc_id long, tid long, text binary")
+    packed = packed.withColumn("tid", F.coalesce("tid", F.lit(0)))  # not null, so all joins read one shuffle of it
     marked = packed.join(firsts, "tid", "left").select("tid", "doc_id", "text", F.col("m").isNotNull().alias("first"))
     single = marked.where("first").select("doc_id", "tid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
