@@ -165,8 +165,28 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return h, c, s, m[of], tid[of], lo * SPAN + size
 
 
+def _earlier(h: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether a row with the same h and c has a smaller m; of rows whose keys clash, those unlike the first are left for later."""
+    if not len(h):
+        return np.zeros(0, bool)
+    key = h.view(np.uint64) ^ (c.view(np.uint64) * P)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[first, len(key)])
+    head = order[np.repeat(first, sizes)]
+    same = (h[order] == h[head]) & (c[order] == c[head])
+    least = np.repeat(np.minimum.reduceat(np.where(same, m[order], np.iinfo(np.int64).max), first), sizes)
+    out = np.zeros(len(h), bool)
+    out[order] = same & (m[order] > least)
+    return out
+
+
 def _anchor_rows(length: int, gram: int, parts: int):
-    """Rows (doc_id, tid, text) -> (part, rows): packed for each part, each anchor's hash, 48 bits of its context's, its sides, m, tid and the context's span. A context is the bytes of the anchor's own strings."""
+    """Rows (doc_id, tid, text) -> (part, done, rows): packed for each part, each anchor's hash, 48 bits of its context's, its sides, m, tid and the context's span. A context is the bytes of the anchor's own strings.
+
+    Where the same task has met a context in an earlier document, it is done: only tid and span are sent. So of a passage that very many documents have, a task sends one row to the anchor's part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
@@ -174,12 +194,21 @@ def _anchor_rows(length: int, gram: int, parts: int):
         def send() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
             found.clear()
+            known = _earlier(columns[0], columns[1], columns[5])
+            lo, size, tid = (columns[i][known] for i in (3, 4, 6))
+            columns = [x[~known] for x in columns]
             part = (columns[0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, columns = part[order], [x[order] for x in columns]
             first = np.flatnonzero(np.diff(part, prepend=-1))
             packed = [_pack(*(x[lo:hi] for x in columns)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
-            return pa.record_batch([pa.array(part[first]), pa.array(packed, pa.binary())], names=["part", "rows"])
+            to, done = part[first].tolist(), [False] * len(packed)
+            if len(tid):
+                none = np.zeros(len(tid), np.int64)
+                packed.append(_pack(none, none, none.astype(np.uint32), lo, size, none, tid))
+                to.append(int(tid[0]) % parts)
+                done.append(True)
+            return pa.record_batch([pa.array(to, pa.int32()), pa.array(done, pa.bool_()), pa.array(packed, pa.binary())], names=["part", "done", "rows"])
 
         opened = _opener()
         for b in batches:
@@ -208,13 +237,21 @@ def _anchor_rows(length: int, gram: int, parts: int):
 
 
 def _shared(split: int):
-    """Rows (part, packed anchors), all of an anchor's hash in one partition -> (tid, kind, g, span) of anchors that two documents have.
+    """Rows (part, done, packed anchors), all of an anchor's hash in one partition -> (tid, kind, g, span) of anchors that two documents have.
 
     kind 0: an earlier document has the whole context. 1: no earlier one has it, but other contexts of the anchor share a side, so strings in it may repeat; g is the anchor. 2: the same, of an anchor with more than `split` contexts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
+        held = []
+        for b in batches:
+            for done, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                rows = _unpack(x)
+                if not done:
+                    held.append(rows)
+                    continue
+                h, tid, span = rows[0], rows[4], rows[5]
+                yield pa.record_batch([pa.array(x) for x in (tid, np.zeros(len(h), np.int32), h, span)], names=["tid", "kind", "g", "span"])
         if not held:
             return
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -402,7 +439,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = marked.where("first").select("doc_id", "tid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(ready(docs.sparkSession).conf.get("spark.sql.shuffle.partitions")), size * 2 // (LENGTH - GRAM + 2) // ANCHORS)
-    found = single.mapInArrow(_anchor_rows(LENGTH, GRAM, parts), "part int, rows binary")
+    found = single.mapInArrow(_anchor_rows(LENGTH, GRAM, parts), "part int, done boolean, rows binary")
     shared = found.repartitionById(parts, F.col("part")).mapInArrow(_shared(SPLIT), "tid long, kind int, g long, span long")
     by_text = shared.groupBy("tid").agg(F.collect_list(F.struct("kind", "g", "span")).alias("anchors"))
     contexts = single.join(by_text, "tid").select("doc_id", "tid", "text", "anchors").mapInArrow(_contexts(LENGTH), "g long, context binary, m long, tid long, lo long, hi long")

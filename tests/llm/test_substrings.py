@@ -120,3 +120,14 @@ def test_packed_anchors_come_back():
     back = substrings._unpack(substrings._pack(h, c, s, lo, size, m, tid))
     for x, y in zip(back, (h, c, s, m, tid, lo * substrings.SPAN + size), strict=True):
         assert np.array_equal(x, y)
+
+
+def test_contexts_that_an_earlier_row_has():
+    rng = np.random.default_rng(5)
+    for low, all_ in ((0, True), (-20, False)):  # below zero, h and c have clashing keys: such rows may be left, none may be added
+        h, c, m = (rng.integers(low, 20, 3000) for _ in range(3))
+        want = np.array([min(m[(h == a) & (c == b)]) < x for a, b, x in zip(h, c, m)])
+        got = substrings._earlier(h, c, m)
+        assert got.any() and not (got & ~want).any() and (not all_ or (got == want).all())
+    none = np.zeros(0, np.int64)
+    assert not len(substrings._earlier(none, none, none))
