@@ -1,6 +1,8 @@
 """Goldens of small graphs, and invariants."""
 
+import hashlib
 import struct
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -10,6 +12,7 @@ from graphloom.functions.progress import counted
 from graphloom.functions.queue import PaintQueue
 from graphloom.operators import colouring, cooccurrence, graph as g, order, vectors, walk, weigh
 from graphloom.schema import OWL_THING, RDF_TYPE
+from graphloom.session import cut
 from graphloom.sources import crec, ntriples, tables
 
 TWO = ["<A> <beta> <B> .", "<A> <gamma> <B>.", "<B> <delta> <C> ."]
@@ -299,6 +302,50 @@ def test_a_source_of_very_many_edges(spark):
     assert ordered.where("end is not null and end <> lo").count() == 0
 
 
+def test_walks_shuffle_few_rows(spark):
+    """Edges for their counts, sums and weights, then sources with all their edges: not edges for their targets' labels, nor for slots of draws (41 rows an edge)."""
+    n = 40_000
+    pairs = spark.range(4 * n).select(F.col("id").alias("edge_id"), (F.col("id") % n).alias("src"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("dst"), F.lit("<p>").alias("pred"))
+    graph = g.Graph(cut(spark.range(n).select(F.col("id").alias("node_id"), F.concat(F.lit("<"), "id", F.lit(">")).alias("label"))), cut(pairs))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        rows = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {x.stageId(): x.shuffleWriteRecords() for x in (rows.apply(i) for i in range(rows.size()))}
+
+    before = set(stages())
+    assert walk.walks_from_random(graph, weigh.weigh(graph), 10, 4).where("size(path) = 9").count() == 10
+    sent = sum(rows for stage, rows in stages().items() if stage not in before)
+    assert sent < 12 * 4 * n
+
+
+def test_walks_through_a_source_of_very_many_edges(spark):
+    """Its edges are in blocks; each draw still meets the edge whose interval it lies in."""
+    n = 200_000
+    edges = spark.range(n).select(F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("src"), (F.col("id") + 2).alias("dst"), F.lit("<p>").alias("pred"))
+    edges = cut(edges.unionByName(spark.createDataFrame([(n, 1, 0, "<q>")], edges.schema)))
+    graph = g.Graph(cut(spark.range(n + 2).select(F.col("id").alias("node_id"), F.col("id").cast("string").alias("label"))), edges)
+    assert walk.Walker(graph, weigh.weigh(graph)).cells.where("at = 0").count() == 4
+    found = walk.walks(graph, weigh.weigh(graph), spark.range(2).withColumnRenamed("id", "node_id"), 500, 3).collect()
+    assert len(found) == 1000
+    for r in found:
+        draw = int(hashlib.md5(f"{walk.SEED}|{r.start}|{r.walk_no}|{r.start}".encode()).hexdigest()[:8], 16) / 2**32 * n
+        assert r.path[:-1] == (["1", "<q>", "0", "<p>"] if r.start else ["0", "<p>"])
+        assert draw - 1e-3 < int(r.path[-1]) - 1 and int(r.path[-1]) - 2 < draw + 1e-3
+    full = walk.walks_of_length(graph, weigh.weigh(graph), spark.range(2).withColumnRenamed("id", "node_id"), 5, 3, strict=False).collect()
+    assert {(r.start, r.walk_no, len(r.path)) for r in full} == {(1, i, 5) for i in range(3)}
+
+
+def test_shuffles_of_a_graph_that_is_built_are_deleted(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: disk.getAllFiles().mkString("\n").count("/shuffle_")
+    graph = built(spark, EIGHT)
+    made, until = files(), time.time() + 20
+    while files() >= made and time.time() < until:
+        time.sleep(0.5)
+    assert files() < made and graph.edges.count() == 9
+
+
 def test_many_cycles_are_broken_in_one_round(spark):
     n = 10_000
     pairs = spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
