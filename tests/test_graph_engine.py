@@ -12,6 +12,7 @@ from graphloom.functions.progress import counted
 from graphloom.functions.queue import PaintQueue
 from graphloom.operators import colouring, cooccurrence, graph as g, order, vectors, walk, weigh
 from graphloom.schema import OWL_THING, RDF_TYPE
+from graphloom import session
 from graphloom.session import cut
 from graphloom.sources import crec, ntriples, tables
 
@@ -346,6 +347,52 @@ def test_shuffles_of_a_graph_that_is_built_are_deleted(spark):
     assert files() < made and graph.edges.count() == 9
 
 
+def shuffled(spark):
+    """Bytes of the shuffle files that lie on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_packed_rows_are_compressed_and_keep_their_order(spark):
+    rows = spark.range(0, 300_000, 1, 3).select("id", F.concat(F.lit("<p/"), "id", F.lit(">")).alias("label"), F.when(F.col("id") % 2 == 0, F.array("id")).alias("ids"))
+    kept = session.packed(rows.repartition(3, "id").sortWithinPartitions(F.desc("id")))
+    assert kept.dtypes == rows.dtypes and kept.exceptAll(rows).isEmpty() and kept.count() == 300_000
+    placed = [r.id for r in kept.where(F.spark_partition_id() == 1).collect()]
+    assert placed == sorted(placed, reverse=True)
+    assert session.packed(rows.limit(0)).dtypes == rows.dtypes and session.packed(rows.limit(0)).count() == 0
+
+
+def test_slices_change_no_graph_and_no_walk(spark, monkeypatch):
+    """Lines have numbers that others have too, so statements go by text there."""
+    n = 3_000
+    rows = spark.range(n).select(F.floor(F.col("id") / 3).alias("line_no"), *[F.concat(F.lit("<"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(90)), F.lit(">")).alias(c) for i, c in enumerate("spo")])
+
+    def seen():
+        graph = g.build(rows)
+        found = walk.walks(graph, weigh.weigh(graph), graph.nodes, 20, 3)
+        return sorted(map(tuple, graph.nodes.collect())), sorted(map(tuple, graph.edges.collect())), sorted((r.start, r.walk_no, tuple(r.path)) for r in found.collect())
+
+    whole = seen()
+    monkeypatch.setattr(g, "SLICE", 800)
+    monkeypatch.setattr(walk, "EDGES", 800)
+    monkeypatch.setattr(walk, "DRAWS", 500)
+    assert seen() == whole
+    names, first = dict(whole[0]), {}
+    for r in rows.collect():
+        first[r.s, r.p, r.o] = min(r.line_no, first.get((r.s, r.p, r.o), n))
+    want = [k for k, _ in sorted(first.items(), key=lambda x: (x[1], x[0]))]
+    assert [(names[s], p, names[o]) for _, s, o, p in whole[1]] == want
+
+
+def test_walks_leave_no_shuffles_on_disk(spark):
+    """Of the shuffles of all steps together, some 90 bytes a walk lay on disk when walks were read."""
+    graph = built(spark, EIGHT)
+    before = shuffled(spark)
+    found = walk.walks(graph, weigh.weigh(graph), graph.nodes, 20_000, 4)
+    assert found.count() == 100_000 and shuffled(spark) - before < 500_000
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom_")]
+
+
 def test_many_cycles_are_broken_in_one_round(spark):
     n = 10_000
     pairs = spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
