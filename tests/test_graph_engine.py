@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -393,6 +394,26 @@ def test_walks_leave_no_shuffles_on_disk(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom_")]
 
 
+def test_walks_that_go_alike_are_one_row(spark):
+    """100 000 walks sent a row each at every step, and once more to be counted as text."""
+    graph = built(spark, EIGHT)
+    wedges, store = weigh.weigh(graph), spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        rows = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {x.stageId(): x.shuffleWriteRecords() for x in (rows.apply(i) for i in range(rows.size()))}
+
+    before = set(stages())
+    found = walk.walks(graph, wedges, graph.nodes, 20_000, 4)
+    paths, sizes = walk.walk_paths(graph, wedges, graph.nodes, 20_000, 4).collect(), walk.walk_sizes(graph, wedges, graph.nodes, 20_000, 4)
+    assert walk.statistics_of_sizes(sizes, graph).first() == walk.statistics(found, graph).first()
+    assert sum(rows for stage, rows in stages().items() if stage not in before) < 50_000
+    want = Counter(tuple(r.path) for r in found.collect())
+    assert len(paths) == len(want) and {tuple(r.path): r.n for r in paths} == want
+    empty = walk.walk_sizes(graph, wedges, graph.nodes.limit(0), 5, 4)
+    assert walk.statistics_of_sizes(empty, graph).first() == walk.statistics(walk.walks(graph, wedges, graph.nodes.limit(0), 5, 4), graph).first()
+
+
 def test_many_cycles_are_broken_in_one_round(spark):
     n = 10_000
     pairs = spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
