@@ -58,3 +58,12 @@ def test_edges_of_walks_are_neither_numbered_nor_told_by_numbers(statements, mon
     monkeypatch.setattr(catalog, "_statements", lambda spark, sf_dir: statements)
     monkeypatch.setattr(catalog.r, "part_ranks", lambda spark, sf_dir: statements.select(F.col("o").alias("label"), F.lit(2.0).alias("weight")).distinct())
     assert catalog.QUERIES["walk_rank_biased"](statements.sparkSession, "").count() == 12 * catalog.WALKS
+
+
+def test_rounds_of_a_length_keep_their_paths(statements, monkeypatch):
+    """The query built the graph, and walked once more, for their paths, the draws that had the length."""
+    from graphloom.plans import catalog
+
+    monkeypatch.setattr(g, "build", lambda *args, **kw: pytest.fail("the graph is built"))
+    monkeypatch.setattr(catalog, "_statements", lambda spark, sf_dir: statements)
+    assert {len(r.walk.split()) for r in catalog.QUERIES["walk_length_enforced"](statements.sparkSession, "").collect()} == {catalog.TOKENS}
