@@ -67,3 +67,14 @@ def test_rounds_of_a_length_keep_their_paths(statements, monkeypatch):
     monkeypatch.setattr(g, "build", lambda *args, **kw: pytest.fail("the graph is built"))
     monkeypatch.setattr(catalog, "_statements", lambda spark, sf_dir: statements)
     assert {len(r.walk.split()) for r in catalog.QUERIES["walk_length_enforced"](statements.sparkSession, "").collect()} == {catalog.TOKENS}
+
+
+def test_walk_text_has_all_walks_of_the_workload(statements, monkeypatch):
+    """It had 50 of the 250 from each start."""
+    from graphloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "_statements", lambda spark, sf_dir: statements)
+    found = rows(catalog.QUERIES["walk_text"](statements.sparkSession, ""))
+    graph = g.build(statements)
+    paths = walk.walk_paths(graph, weigh.weigh(graph), g.entities(graph), 250, 4)
+    assert found == rows(paths.select(F.array_join("path", " "), "n")) and sum(n for _, n in found) == 12 * 250
